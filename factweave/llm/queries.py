@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm import fertility, merge_encoding, mixing, secret_ledger, simhash, tiff, token_counts, tokens, warc
+from factweave.llm import fertility, merge_encoding, mixing, repeats, secret_ledger, sharding, simhash, tiff, token_counts, tokens, warc
 from factweave.llm.common import text_or_empty
 
 
@@ -34,10 +34,18 @@ def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, secret_ledger.listed("findings").alias("spans")).withColumn("base_sha256", F.sha2("spans", 256)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op5_repeat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir))
+
+
 def op6_merge_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_encoding.encode_documents(documents(spark, sf_dir), tokens.public_vocabulary())
 
 
+def op7_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(documents(spark, sf_dir))
+
+
 def op8_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality(documents(spark, sf_dir), tokens.public_vocabulary())
 
@@ -52,7 +60,19 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tiff_pages, op2_pareto_mix, op3_simhash_segments, op4_secret_ledger, op6_merge_encoding, op8_tokenizer_fertility, op9_overlap_counts, op10_warc_bundles)}
+    numbered = (
+        op1_tiff_pages,
+        op2_pareto_mix,
+        op3_simhash_segments,
+        op4_secret_ledger,
+        op5_repeat_tree,
+        op6_merge_encoding,
+        op7_label_propagation,
+        op8_tokenizer_fertility,
+        op9_overlap_counts,
+        op10_warc_bundles,
+    )
+    return {f.__name__: f for f in numbered}
 
 
 def _kind(kind: str, number: int, pattern: str, group: int, least: int) -> str:
