@@ -20,22 +20,21 @@ def is_secret(path: Column) -> Column:
     return path.rlike(SECRET_NAME) & ~path.rlike(EXAMPLE_NAME)
 
 
-def files(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """path (below root), size, digest and content of the files of a tree, without skipped folders, nested checkouts and secrets."""
+def files(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, nested: list[str] | None = None) -> DataFrame:
+    """path (below root), size, digest and content of the files of a tree, without skipped folders, secrets and the checkouts named in nested.
+
+    Spark's listing leaves out names that start with a dot or underscore; so nested checkouts can't be told by their .git and have to be named.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace("path", r"^\w+:/*", "/")
     base = F.lit(root.split(":", 1)[-1].rstrip("/").replace("//", "/") + "/")
     rows = raw.withColumn("path", F.substring(path, F.length(base) + 1, F.length(path)))
-    nested = rows.where(F.col("path").rlike(r"/\.git/")).select(F.regexp_extract("path", r"^(.*?)/\.git/", 1).alias("checkout")).distinct()
     rows = rows.where(~F.exists(F.split("path", "/"), lambda p: p.isin(*SKIPPED)) & ~is_secret(F.col("path")))
     if include:
         rows = rows.where(in_scope(F.col("path"), include))
-    if exclude:
-        rows = rows.where(~in_scope(F.col("path"), exclude))
-    rows = rows.withColumn("_up", F.regexp_replace("path", "/[^/]*$", ""))
-    up = F.transform(F.sequence(F.lit(1), F.size(F.split("_up", "/"))), lambda n: F.array_join(F.slice(F.split("_up", "/"), F.lit(1), n), "/"))
-    inside = rows.select("path", F.explode(up).alias("checkout")).join(nested, "checkout", "left_semi").select("path").distinct()
-    return rows.join(inside, "path", "left_anti").select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("digest"), "content")
+    if exclude or nested:
+        rows = rows.where(~in_scope(F.col("path"), [*(exclude or []), *(nested or [])]))
+    return rows.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("digest"), "content")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
