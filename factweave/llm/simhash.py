@@ -93,6 +93,7 @@ def near_pairs(points: DataFrame, radius: int = RADIUS, crowded: int = CROWDED)
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:
     """doc_id (or the columns keep), fingerprint and component_id of every row: the smallest doc_id that links lead to, its own included.
+    class_fingerprint names the class by one of its fingerprints, also where it has no id.
 
     A null text has no words, as an empty one; such rows share fingerprint zero. A null doc_id keeps its row; its class is null only if no
     row of it has an id. Repeated rows and ids keep a result each. Columns of other names pass through keep.
@@ -105,6 +106,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, keep: list[str] | N
     rooted = points.join(found, points.f == found.node, "left").select("f", "_id", F.coalesce("component", "f").alias("_root"))
     rooted = written(rooted)
     least = written(rooted.groupBy("_root").agg(F.min("_id").alias("component_id")))
-    classes = written(rooted.select("f", "_root").join(least, "_root").select("f", "component_id"))
+    classes = written(rooted.select("f", "_root").join(least, "_root").select("f", "_root", "component_id"))
     out = rows.join(classes, "f")
-    return out.select("_row.*", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("_row.*", _digits("f").alias("fingerprint"), "component_id", _digits("_root").alias("class_fingerprint"))
+
+
+def _digits(f: str) -> Column:
+    return F.lower(F.lpad(F.hex(f), 16, "0"))

@@ -58,7 +58,7 @@ def test_rows(spark):
     long = " ".join(f"w{i % 97}x{i % 89}" for i in range(3000))
     rows = [(5, "a b c d", 1), (3, "A B c d", 2), (9, None, 3), (4, "", 4), (7, long, 5), (8, long + " end", 6), (8, long + " end", 6), (None, "lonely words here now", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, f int")
-    got = [tuple(r) for r in simhash.near_duplicates(docs, keep=["doc_id", "f"]).collect()]
+    got = [tuple(r)[:4] for r in simhash.near_duplicates(docs, keep=["doc_id", "f"]).collect()]
     prints = [plain(t) for _, t, _ in rows]
     least = classes(prints)
     groups = {g: min((r[0] for r, x in zip(rows, least) if x == g and r[0] is not None), default=None) for g in set(least)}
