@@ -89,7 +89,33 @@ def _kind(kind: str, number: int, pattern: str, group: int, least: int) -> str:
 _ASSIGN = "(?:" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + ")"
 _ASSIGN = f"""({_ASSIGN})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 
+
+
+def _levels(table: str, group: str, total: str) -> str:
+    """Adds share to rows of most and weight, as mixing.levels does."""
+    by = f"partition by {group} order by most / weight, tie nulls last"
+    return f"""
+    select * exclude (level, filled, first_level), case when first_level is null or most / weight <= first_level then most::double else weight * first_level end as share
+    from (select *, first_value(case when not filled then level end ignore nulls) over ({by} rows between unbounded preceding and unbounded following) as first_level
+        from (select *, most / weight <= level as filled from (select *, ({total} - coalesce(sum(most) over ({by} rows between unbounded preceding and 1 preceding), 0)::bigint) / (sum(weight) over ({by} rows between current row and unbounded following))::bigint as level from {table})))"""
+
+
 ORACLE_SQL = {
+    "op2_pareto_mix": f"""
+with d as (select row_number() over () as r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size,
+    md5('mix-1:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as h from documents),
+e as (select *, length(bin(size)) as digits, (('0x' || substr(h, 1, 13))::bigint + 0.5::double) / 4503599627370496::double as u from d),
+s as (select source, sum(size)::bigint as source_size from e group by 1),
+w as (select *, 1 as every, 2 * source_size as most, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1]::bigint as weight, coalesce(source, '') as tie, 1.5::double * (sum(source_size) over ())::bigint as goal from s),
+t as (select source, source_size, share as target from ({_levels("w", "every", "goal")})),
+c as (select source, digits, sum(size)::bigint as words from e group by all having sum(size) > 0),
+v as (select c.source, digits, words, target, 2 * words as most, words * (8 + digits) as weight, digits as tie, hash(c.source) as g from c join t on c.source is not distinct from t.source),
+p as (select source, digits, share / words as expected from ({_levels("v", "g", "target")})),
+k as (select e.*, coalesce(floor(expected), 0)::bigint as whole, coalesce(expected - floor(expected), 0) as p from e left join p on e.source is not distinct from p.source and e.digits = p.digits),
+o as (select *, (u / (1 - u)) / (p / (1 - p)) as odds from k where p > 0),
+q as (select *, odds / (1 + odds) as rank, round(sum(size * p) over (partition by source), 3) as rest from o),
+x as (select r, (sum(size) over (partition by source order by rank, size, r rows unbounded preceding) - size / 2 <= rest)::bigint as drawn from q)
+select doc_id, size, source_size, target, (whole + coalesce(drawn, 0)) * size as taken from k left join x using (r) join t on k.source is not distinct from t.source""",
     "op4_secret_ledger": f"""
 with d as (select row_number() over () as doc, doc_id, coalesce(text, '') as text from documents),
 found as ({_kind("assign", 0, _ASSIGN, 2, 12)} union all {_kind("access", 1, "AKIA[A-Z0-9]+", 0, 18)} union all {_kind("hex", 2, "[0-9a-f]+", 0, 16)}),
