@@ -8,7 +8,6 @@ from factweave.functions import canon
 from factweave.operators import drift, journal, resolve
 from factweave.plans.registry import query, table
 
-LATTICE = F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)
 LATTICE_SQL = "case l_returnflag when 'R' then 0 when 'A' then 1 else 2 end"
 CLAIM_ORDER = ("l_suppkey", "l_linenumber", "l_partkey")
 AT = "cast(ts as timestamp)"
@@ -18,7 +17,7 @@ AT = "cast(ts as timestamp)"
 select l_orderkey, l_suppkey, l_linenumber, l_partkey, l_returnflag from (
     select *, row_number() over (partition by l_orderkey order by {LATTICE_SQL}, l_suppkey, l_linenumber, l_partkey) as n from lineitem) where n = 1""")
 def q01_resolve_winner(spark, d):
-    rows = resolve.winners(table(spark, d, "lineitem"), ["l_orderkey"], [LATTICE, *map(F.col, CLAIM_ORDER)])
+    rows = resolve.winners(table(spark, d, "lineitem"), ["l_orderkey"], [F.expr(LATTICE_SQL), *map(F.col, CLAIM_ORDER)])
     return rows.select("l_orderkey", "l_suppkey", "l_linenumber", "l_partkey", "l_returnflag")
 
 
@@ -29,7 +28,7 @@ select l_orderkey, n_values, n_claims, a.l_partkey as winner,
     case when a.lattice <> b.lattice then 'lattice' when a.l_suppkey <> b.l_suppkey then 'provider' when a.l_linenumber <> b.l_linenumber then 'line' when a.l_partkey <> b.l_partkey then 'value' else 'tie' end as rule
 from g join r a using (l_orderkey) join r b using (l_orderkey) where a.n = 1 and b.n = 2""")
 def q02_conflicts(spark, d):
-    rules = {"lattice": LATTICE, "provider": F.col("l_suppkey"), "line": F.col("l_linenumber"), "value": F.col("l_partkey")}
+    rules = {"lattice": F.expr(LATTICE_SQL), "provider": F.col("l_suppkey"), "line": F.col("l_linenumber"), "value": F.col("l_partkey")}
     return resolve.conflicts(table(spark, d, "lineitem"), ["l_orderkey"], rules, "l_partkey")
 
 
