@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import canon
 from factweave.functions.text import LONG_TOKEN, in_scope, name_tokens, plain_parameters, without_name
-from factweave.operators import derive, drift, rank, report
+from factweave.operators import derive, drift, normalise, rank, report
 from factweave.plans.decisions import FINDINGS_SQL, findings
 from factweave.plans.joins import URL_PATH
 from factweave.plans.registry import query, table
@@ -243,3 +243,56 @@ def q52_name_tokens(spark, d):
 def q53_clean_share(spark, d):
     rows = findings(spark, d)
     return drift.coverage(rows, rows.where("state = 'clean'"), "k", "kind")
+
+
+@query("""
+select 'fact:nation/' || n_name as id, 'nation' as capability, 'nation' as type, 'h1:' || sha256('{"attrs":{"name":"' || n_name || '","region":' || n_regionkey || '},"schema_version":1,"type":"nation"}') as hash from nation""")
+def q54_facts(spark, d):
+    rows = normalise.facts(table(spark, d, "nation"), "nation", F.concat(F.lit("fact:nation/"), F.col("n_name")), {"region": F.col("n_regionkey"), "name": F.col("n_name")})
+    return rows.select("id", "capability", "type", "hash")
+
+
+@query("select s_nationkey as requirement, string_agg(distinct s_name, ',' order by s_name) as providers, bool_and(s_suppkey % 2 = 0) as only_live from supplier where s_acctbal < 3000 group by 1")
+def q55_requirements(spark, d):
+    needs = table(spark, d, "supplier").select(F.col("s_name").alias("provider"), F.col("s_nationkey").alias("requirement"), (F.col("s_acctbal") >= 3000).alias("met"), (F.col("s_suppkey") % 2 == 0).alias("live"))
+    return normalise.requirements(needs).withColumn("providers", F.array_join("providers", ","))
+
+
+@query("select substr(sha256(string_agg(distinct p_brand || '@' || p_type, ',' order by p_brand || '@' || p_type)), 1, 16) as hash from part")
+def q56_set_hash(spark, d):
+    return normalise.set_hash(table(spark, d, "part"), "p_brand", "p_type")
+
+
+@query("""
+with a as (select c_custkey as path, c_mktsegment as digest from customer where c_custkey % 5 <> 4 or c_custkey < 9), b as (select c_custkey as path, case when c_custkey % 7 = 6 then 'x' else c_mktsegment end as digest from customer where c_custkey > 0 or c_custkey % 3 = 0)
+select path, case when a.path is null then 'added' when b.path is null then 'gone' else 'changed' end as reason from a full join b using (path) where a.digest is distinct from b.digest order by path limit 1""")
+def q57_first_difference(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("path"), F.col("c_mktsegment").alias("digest"))
+    recorded = c.where("path % 5 <> 4 or path < 9")
+    return normalise.first_difference(recorded, c.withColumn("digest", F.when(F.col("path") % 7 == 6, "x").otherwise(F.col("digest"))))
+
+
+@query("""
+with t as (select p_partkey, split_part(p_name, ' ', 2) as tail from part), p as (select a.p_partkey as id, b.p_partkey as candidate, row_number() over (partition by a.p_partkey order by 'p' || b.p_partkey || '/' || b.tail) as place from t a join t b using (tail) where a.p_partkey % 40 = 0 and a.p_partkey <> b.p_partkey)
+select id, candidate, place from p where place <= 3""")
+def q58_tail_candidates(spark, d):
+    ids = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey"), F.lit("/"), F.split_part("p_name", F.lit(" "), F.lit(2))).alias("id"), "p_partkey")
+    rows = normalise.tail_candidates(ids.where("p_partkey % 40 = 0"), ids)
+    number = lambda c: F.regexp_extract(c, r"^p(\d+)", 1).cast("bigint")
+    return rows.select(number("id").alias("id"), number("candidate").alias("candidate"), "place")
+
+
+@query("""
+select p_partkey, p_name from part where not (p_type in ('churn', 'package') or (p_type = 'service')) and p_name not like '%<!--%'""")
+def q59_surfaces(spark, d):
+    rows = table(spark, d, "part")
+    return rows.where(normalise.is_surface(F.col("p_type"), F.lit("external"))).select("p_partkey", "p_name")
+
+
+@query("""
+with r as (select 'S' || (s_nationkey % 3) as provider, case when s_suppkey % 4 = 0 then 'x' when s_suppkey % 4 = 1 then 'y' else 'z' end as type from supplier)
+select distinct provider, type from r where type = 'z' or (type = 'y' and provider = 'S1')""")
+def q60_undeclared(spark, d):
+    rows = table(spark, d, "supplier").select(F.concat(F.lit("S"), F.col("s_nationkey") % 3).alias("provider"), F.when(F.col("s_suppkey") % 4 == 0, "x").when(F.col("s_suppkey") % 4 == 1, "y").otherwise("z").alias("type"))
+    declared = spark.createDataFrame([("S0", "x"), ("S1", "x"), ("S2", "x"), ("S0", "y"), ("S2", "y")], "provider string, type string")
+    return normalise.undeclared(rows, declared)

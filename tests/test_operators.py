@@ -6,7 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from factweave.functions import canon, text
-from factweave.operators import binds, drift, graph, journal, rank
+from factweave.operators import binds, drift, graph, journal, normalise, rank
 from factweave.sources import markers, repository
 from factweave.streaming import journal as stream
 
@@ -158,3 +158,26 @@ def test_stream_equals_table_for_any_arrival(spark, tmp_path):
     query.stop()
     want = {("snooze", "a", "2024-01-02", 2), ("reject", "a", "2024-01-01", 4), ("snooze", "b", "2023-01-01", 5)}
     assert {tuple(r) for r in spark.table("fold").collect()} == {tuple(r) for r in stream.folded(table).collect()} == want
+
+
+def test_screening_and_scope(spark):
+    rows = spark.createDataFrame([("fact:a/1", "{}", [("src/x", 1), ("gen/y", 2)]), ("fact:a/<!--", "{}", []), (None, "{}", []), ("fact:a/2", None, []), ("fact:a/3", "-->", []), ("fact:a/4", "{}", [("gen/z", 1)])], "id string, payload string, source array<struct<file:string,line:int>>")
+    good, gaps = normalise.screened(rows, ["payload"])
+    assert sorted((str(r.id), r.reason) for r in gaps.collect()) == [("None", "malformed"), ("fact:a/2", "malformed"), ("fact:a/3", "holds a comment mark"), ("fact:a/<!--", "holds a comment mark")]
+    kept, out = normalise.scoped(good, ["gen/"])
+    assert [(r.id, [s.file for s in r.source]) for r in kept.collect()] == [("fact:a/1", ["src/x"])] and out.first().scoped_out == 1
+
+
+def test_detection(spark):
+    rules = spark.createDataFrame([("a", "always", None), ("b", "file", "go.mod"), ("c", "dir", "app/pages"), ("d", "dep", "kafkajs"), ("e", "file", "none")], "provider string, kind string, value string")
+    files = spark.createDataFrame([("x/go.mod",), ("app/pages/i.js",)], "path string")
+    assert {r.provider for r in normalise.detected(rules, files, spark.createDataFrame([("kafkajs",)], "name string")).collect()} == {"a", "b", "c", "d"}
+
+
+def test_small_rules(spark):
+    assert [one(spark, normalise.arity(F.col("t")), t=t) for t in ("f()", "f( )", "f(a)", "f(a, b) => (c, d)", "x")] == [0, 0, 1, 2, 0]
+    names = spark.createDataFrame([("V10__b.sql",), ("V9__a.sql",), ("2024_x.sql",), ("R__z.sql",)], "n string")
+    assert [r.n for r in names.orderBy(normalise.migration_key(F.col("n"))).collect()] == ["V9__a.sql", "V10__b.sql", "2024_x.sql", "R__z.sql"]
+    prose = spark.createDataFrame([("s", "uses `a.b` and `gone` and `a.b`")], "id string, text string")
+    assert [tuple(r) for r in normalise.unknown_entities(prose, spark.createDataFrame([("a.b",)], "token string")).select("id", "token").collect()] == [("s", "gone")]
+    assert one(spark, normalise.capability_of(F.col("t")), t="ds p . a/b#") == "module-graph" and one(spark, normalise.capability_of(F.col("t")), t="fact:db-schema/fn.x(a/b)") == "db-schema"
