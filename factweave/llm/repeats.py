@@ -8,8 +8,9 @@ equals. So strings are compared only at equal anchors, and each anchor speaks fo
 3. Anchors with two or more different stretches are compared exactly. The stretches of one anchor are an enhanced suffix array: their right sides in
    order, with common prefix lengths, whose interval tree a stack scan visits. In each interval the left sides are ordered and scanned likewise: an
    interval in which both the left and the right extensions differ is a maximal repeat, with all its occurrences.
-4. Anchors with more than CROWDED different stretches (the edge of a passage in very many documents) are not gathered: each of their
-   strings is hashed (128 bits) and counted across the cluster instead, which gives the same strings.
+4. Anchors with more than CROWDED different stretches (the edge of a passage in very many documents) are not gathered. Their stretches are cut
+   at the same places, and the parts are counted by hash (128 bits) across the cluster; only parts that recur in part are cut finer, at last into
+   single strings. That finds the same strings.
 
 Rows: a null text counts as empty; texts shorter than LENGTH lose nothing. Texts that occur twice lose all of their strings. Rows that repeat in full
 keep a result each. Other columns pass through `keep`.
@@ -18,7 +19,7 @@ keep a result each. Other columns pass through `keep`.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -216,22 +217,59 @@ def _scan(length: int):
     return scan
 
 
-def _strings(length: int):
-    """Hash of each string of the stretches of crowded anchors."""
+STEPS = (32, 4, 1)  # strings of crowded anchors are taken by so many neighbours at first, then fewer
+PARTS = "k long, t long, n long, d long, e long, lo int, first int, last int, x binary, y binary"
+
+
+def _parts(length: int, step: int):
+    """Stretches cut at places counted from the anchor into parts of `step` strings, within ranges of starts if there are any.
+
+    x is the hash of the bytes that all strings of an uncut part share, y that of all bytes of the part.
+    """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        names = [c.split()[0] for c in PARTS.split(", ")]
+        types = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.binary()] * 2
         for batch in batches:
             rows = []
-            for n, d, e, lo, s in zip(*(batch.column(c).to_pylist() for c in ("n", "d", "e", "lo", "s"))):
-                rows += [(xxhash.xxh3_128_digest(s[j : j + length]), n, d, e, lo + j) for j in range(len(s) - length + 1)]
+            for *head, lo, at, s, ranges in zip(*(batch.column(c).to_pylist() for c in ("k", "t", "n", "d", "e", "lo", "at", "s", "ranges"))):
+                for r in ranges or [{"a": 0, "b": len(s) - length}]:
+                    begin = r["a"]
+                    while begin <= r["b"]:
+                        low = begin - (begin - at) % step  # where the part begins if it is not cut
+                        last = min(low + step - 1, r["b"])
+                        shared = s[low + step - 1 : low + length]
+                        rows.append((*head, lo, begin, last, xxhash.xxh3_128_digest(shared), xxhash.xxh3_128_digest(s[begin : last + length])))
+                        begin = last + 1
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["x", "n", "d", "e", "lo"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     return split
 
 
+def crowded_ranges(pieces: DataFrame, length: int, steps: tuple[int, ...] = STEPS) -> DataFrame:
+    """Ranges of repeated starts of stretches that meet at crowded anchors, without gathering an anchor's stretches.
+
+    A part whose bytes recur in full is repeated; one whose shared bytes don't recur has no repeated string; what lies between is cut finer.
+    """
+    found, asked = [], pieces.withColumn("ranges", F.lit(None).cast("array<struct<a:int,b:int>>"))
+    for step in steps:
+        parts = written(asked.select("k", "t", "n", "d", "e", "lo", "at", "s", "ranges").mapInArrow(_parts(length, step), PARTS))
+        kinds = written(parts.groupBy("x", "y").agg(F.count("*").alias("c"), F.min(F.struct("k", "t")).alias("one")))
+        shared = written(kinds.groupBy("x").agg(F.count("*").alias("kinds"), F.sum("c").alias("all")).where("all > 1").select("x", "kinds"))
+        parts = written(parts.join(written(kinds.join(shared, "x")), ["x", "y"]))
+        found.append(parts.where("c > 1 and n = 1").select("d", "e", (F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + F.col("last")).alias("hi")))
+        if step == steps[-1]:
+            break
+        # One of the equal parts stands for all of them where others share some of its bytes.
+        finer = parts.where((F.col("kinds") > 1) & ((F.col("c") == 1) | (F.col("one") == F.struct("k", "t"))))
+        finer = finer.groupBy("k", "t").agg(F.collect_list(F.struct(F.col("first").alias("a"), F.col("last").alias("b"))).alias("ranges"))
+        asked = pieces.join(written(finer), ["k", "t"])
+    return reduce(DataFrame.unionByName, found)
+
+
 def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, crowded: int = CROWDED) -> DataFrame:
     """d, e, lo, hi: ranges of starts of repeated strings, of texts(d, e, b); (d, e) names a text and is the same for rows that repeat in full."""
     anchors = written(texts.where(F.octet_length("b") >= length).mapInArrow(_anchors(length, gram), ANCHORS))
@@ -248,11 +286,9 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, cr
     pieces = written(texts.join(written(asked), ["d", "e"]).mapInArrow(_cut(length), NEEDS).dropDuplicates(["k", "t"]))
     light = pieces.where(F.col("crowd") <= crowded).select("k", "n", "d", "e", "lo", "at", "s")
     light = light.repartition("k").sortWithinPartitions("k").mapInArrow(_scan(length), RANGES)
-    strings = pieces.where(F.col("crowd") > crowded).select("n", "d", "e", "lo", "s").mapInArrow(_strings(length), "x binary, n long, d long, e long, lo int")
-    strings = written(strings)
-    twice = written(strings.groupBy("x").agg(F.count("*").alias("c")).where("c > 1").select("x"))
-    heavy = strings.where("n = 1").join(twice, "x").select("d", "e", "lo", F.col("lo").alias("hi"))
-    return whole.unionByName(light).unionByName(heavy)
+    heavy = pieces.where(F.col("crowd") > crowded)
+    found = whole.unionByName(light)
+    return found if heavy.isEmpty() else found.unionByName(crowded_ranges(heavy, length))
 
 
 def runs(ranges: list[dict], length: int) -> list[tuple[int, int]]:
