@@ -187,36 +187,56 @@ def _cut(length: int):
     return cut
 
 
-def _scan(length: int):
-    """Ranges of repeated starts, anchor by anchor; rows come ordered by anchor."""
+def _by_anchor(make, names: list[str], types: list[pa.DataType]):
+    """Runs make over the stretches of one anchor after the other; rows (k, t, n, d, e, lo, at, s) come ordered by anchor."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-
-        def ranges() -> list[tuple]:
-            if len(held) < 2:
-                return []
-            found = repeated_starts([(r[5], r[6]) for r in held], length)
-            return [(r[2], r[3], r[4] + a, r[4] + b) for r, each in zip(held, found) if r[1] == 1 for a, b in each]
-
-        def made(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["d", "e", "lo", "hi"])
-
+        table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
         for batch in batches:
             rows = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("k", "n", "d", "e", "lo", "at", "s"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("k", "t", "n", "d", "e", "lo", "at", "s"))):
                 if held and held[0][0] != row[0]:
-                    rows += ranges()
+                    rows += make(held) if len(held) > 1 else []
                     held = []
                 held.append(row)
             if rows:
-                yield made(rows)
-        if rows := ranges():
-            yield made(rows)
+                yield table(rows)
+        if len(held) > 1 and (rows := make(held)):
+            yield table(rows)
 
     return scan
 
 
+def _scan(length: int):
+    """Ranges of repeated starts of stretches that occur once."""
+
+    def ranges(held: list[tuple]) -> list[tuple]:
+        found = repeated_starts([(r[6], r[7]) for r in held], length)
+        return [(r[3], r[4], r[5] + a, r[5] + b) for r, each in zip(held, found) if r[2] == 1 for a, b in each]
+
+    return _by_anchor(ranges, ["d", "e", "lo", "hi"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()])
+
+
+GROUPS = "k long, t long, x binary, begin int, n_bytes int"
+
+
+def _groups(length: int):
+    """Members of each maximal repeat, as the stretch and the place in it where the repeat begins."""
+
+    def groups(held: list[tuple]) -> list[tuple]:
+        import xxhash
+
+        out = []
+        for left, right, members in maximal_repeats([r[7][: r[6]][::-1] for r in held], [r[7][r[6] :] for r in held], length):
+            at, s = held[members[0]][6:]
+            name = xxhash.xxh3_128_digest(s[at - left : at + right])
+            out += [(held[m][0], held[m][1], name, held[m][6] - left, left + right) for m in members]
+        return out
+
+    return _by_anchor(groups, [c.split()[0] for c in GROUPS.split(", ")], [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32()])
+
+
 STEPS = (32, 4, 1)  # strings of crowded anchors are taken by so many neighbours at first, then fewer
 PARTS = "k long, t long, n long, d long, e long, lo int, first int, last int, x binary, y binary"
 
@@ -270,27 +290,47 @@ def crowded_ranges(pieces: DataFrame, length: int, steps: tuple[int, ...] = STEP
     return reduce(DataFrame.unionByName, found)
 
 
-def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, crowded: int = CROWDED) -> DataFrame:
-    """d, e, lo, hi: ranges of starts of repeated strings, of texts(d, e, b); (d, e) names a text and is the same for rows that repeat in full."""
+def compared(texts: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Of texts(d, e, b): the stretches that may hold a repeat, with their number n and their anchor's number of kinds, crowd; and the bytes of one of each kind at mixed anchors."""
     anchors = written(texts.where(F.octet_length("b") >= length).mapInArrow(_anchors(length, gram), ANCHORS))
     kinds = written(anchors.groupBy("k", "t").agg(F.count("*").alias("n")))
     crowds = written(kinds.groupBy("k").agg(F.count("*").alias("crowd"), F.sum("n").alias("all")).where("all > 1").select("k", "crowd"))
     kinds = written(kinds.join(crowds, "k"))
     seen = written(anchors.join(kinds, ["k", "t"]))
-    whole = seen.where("n > 1").select("d", "e", "lo", "hi")
     mixed = seen.where("crowd > 1")
     # One occurrence of each different stretch: the smallest by place.
     once = mixed.where("n = 1").select("k", "t", "n", "d", "e", "lo", "hi", "at", "crowd")
     more = mixed.where("n > 1").groupBy("k", "t", "n", "crowd").agg(F.min(F.struct("d", "e", "lo", "hi", "at")).alias("_r")).select("k", "t", "n", "_r.*", "crowd")
     asked = once.unionByName(more).groupBy("d", "e").agg(F.collect_set(F.struct("k", "t", "n", "lo", "hi", "at", "crowd")).alias("asked"))
-    pieces = written(texts.join(written(asked), ["d", "e"]).mapInArrow(_cut(length), NEEDS).dropDuplicates(["k", "t"]))
-    light = pieces.where(F.col("crowd") <= crowded).select("k", "n", "d", "e", "lo", "at", "s")
-    light = light.repartition("k").sortWithinPartitions("k").mapInArrow(_scan(length), RANGES)
+    return seen, written(texts.join(written(asked), ["d", "e"]).mapInArrow(_cut(length), NEEDS).dropDuplicates(["k", "t"]))
+
+
+def _in_order(pieces: DataFrame, crowded: int) -> DataFrame:
+    light = pieces.where(F.col("crowd") <= crowded).select("k", "t", "n", "d", "e", "lo", "at", "s")
+    return light.repartition("k").sortWithinPartitions("k")
+
+
+def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, crowded: int = CROWDED) -> DataFrame:
+    """d, e, lo, hi: ranges of starts of repeated strings, of texts(d, e, b); (d, e) names a text and is the same for rows that repeat in full."""
+    seen, pieces = compared(texts, length, gram)
+    light = _in_order(pieces, crowded).mapInArrow(_scan(length), RANGES)
     heavy = pieces.where(F.col("crowd") > crowded)
-    found = whole.unionByName(light)
+    found = seen.where("n > 1").select("d", "e", "lo", "hi").unionByName(light)
     return found if heavy.isEmpty() else found.unionByName(crowded_ranges(heavy, length))
 
 
+def repeat_groups(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, crowded: int = CROWDED) -> DataFrame:
+    """d, e, start, n_bytes and repeat (a digest) of all occurrences of each maximal repeat within the stretches of an anchor.
+
+    Stretches that recur in full are one group each. At crowded anchors only those are listed; repeated_ranges covers all of their strings.
+    """
+    seen, pieces = compared(texts, length, gram)
+    groups = written(_in_order(pieces, crowded).mapInArrow(_groups(length), GROUPS))
+    part = seen.select("k", "t", "d", "e", "lo").join(groups, ["k", "t"]).select("d", "e", (F.col("lo") + F.col("begin")).alias("start"), "n_bytes", F.lower(F.hex("x")).alias("repeat"))
+    whole = seen.where("n > 1").select("d", "e", F.col("lo").alias("start"), (F.col("hi") - F.col("lo") + length).alias("n_bytes"), F.lower(F.concat(F.hex("k"), F.lit("-"), F.hex("t"))).alias("repeat"))
+    return part.unionByName(whole)
+
+
 def runs(ranges: list[dict], length: int) -> list[tuple[int, int]]:
     """Bytes that ranges of starts cover, as maximal runs."""
     out: list[list[int]] = []
@@ -304,6 +344,7 @@ def runs(ranges: list[dict], length: int) -> list[tuple[int, int]]:
 
 def kept(data: Column, ranges: Column, length: int = LENGTH) -> Column:
     """Of each text, the runs removed and what is left."""
+
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         import hashlib

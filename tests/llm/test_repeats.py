@@ -71,6 +71,18 @@ def test_equals_brute_force(spark):
         assert sum(w[1] for w in want) > 1000
 
 
+def test_groups_hold_equal_strings_and_all_that_repeats(spark):
+    texts = [(t or "").encode() for t in corpus(random.Random(5))]
+    frame = spark.createDataFrame([(i, 0, bytearray(b)) for i, b in enumerate(texts)], "d long, e long, b binary").repartition(3)
+    groups, hit = {}, [np.zeros(len(b), bool) for b in texts]
+    for r in repeats.repeat_groups(frame, 40, 8).collect():
+        assert r.n_bytes >= 40
+        groups.setdefault(r.repeat, []).append((r.d, r.start, texts[r.d][r.start : r.start + r.n_bytes]))
+        hit[r.d][r.start : r.start + r.n_bytes] = True
+    assert all(len({s for *_, s in g}) == 1 and len(g) > 1 for g in groups.values())
+    assert [int(h.sum()) for h in hit] == [w[1] for w in plain([b.decode() for b in texts], 40)]
+
+
 def test_long_texts_in_blocks(spark, monkeypatch):
     rng = random.Random(9)
     passage = "".join(rng.choice("abcdef ") for _ in range(900))
