@@ -97,7 +97,8 @@ def ledger_scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, .
     hits = spark.read.schema(LEDGER).parquet(ledger).where(F.array_contains(current, F.concat_ws("@", "rule", "version")) & (F.size("spans") > 0))
     hits = hits.select("blob_id", F.explode(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[F.col("rule")].alias("_n"), F.col("rule").alias("rule"), s["end"].alias("end")))).alias("_s"))
     hits = written(hits.groupBy("blob_id").agg(F.array_sort(F.collect_set("_s")).alias("_found")))
-    out = paths.select("_row", "blob_id").join(hits, "blob_id", "left")
+    # Findings grow with the corpus: never a side to broadcast.
+    out = paths.select("_row", "blob_id").join(hits.hint("merge"), "blob_id", "left")
     found = F.coalesce(F.transform("_found", lambda s: F.struct(s["rule"].alias("rule"), s["start"].alias("start"), s["end"].alias("end"))), F.array().cast("array<struct<rule:string,start:int,end:int>>"))
     return out.select("_row.*", "blob_id", found.alias("findings"))
 
