@@ -13,11 +13,12 @@ spaces is one segment, encoded whole.
 
 from __future__ import annotations
 
-import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ class MergeEncoder:
         self.byte_id = {b: i for i, b in self.bytes_of.items()}
         self.silent = {i for i, k in enumerate(kinds) if m.is_control(i)}
         self.unknown = m.unk_id()
+        self.written = [" ⁇ " if i == self.unknown else p.replace(MARK, " ") for i, p in enumerate(self.pieces)]
+        self.special = self.silent | set(self.bytes_of)
         self.id_of = {p: i for i, p in enumerate(self.pieces) if not any(kinds[i])}
         self.score = {p: m.get_score(i) for p, i in self.id_of.items()}
         if any(c not in self.id_of for p in self.id_of for c in p) or any(MARK in p.lstrip(MARK) for p in self.id_of) or m.normalize(" a  b ") != "▁▁a▁▁b▁":
@@ -119,16 +122,14 @@ class MergeEncoder:
                 begin = i + 1
         return out + self.stretch(text[begin:]) if begin < len(text) else out
 
-    def _learn(self, parts: list[str]) -> list[tuple[int, str, str]]:
-        """Of each segment, the number of ids, the ids in decimal and their decoded text."""
-        out = []
-        for p in parts:
-            ids = self.segment(MARK + p.replace(" ", MARK))
-            out.append((len(ids), ",".join(map(str, ids)), self.joined(ids)))
-        return out
+    def _learn(self, parts: list[str]) -> list[bytes]:
+        """The ids of each segment, as bytes of 32-bit numbers."""
+        return [array("i", self.segment(MARK + p.replace(" ", MARK))).tobytes() for p in parts]
 
     def joined(self, ids: list[int]) -> str:
         """The text of ids, each space mark as a space; bytes that form no character as the replacement sign."""
+        if self.special.isdisjoint(ids):
+            return "".join(map(self.written.__getitem__, ids))
         out, run = [], bytearray()
         for i in ids:
             if i in self.bytes_of:
@@ -138,17 +139,25 @@ class MergeEncoder:
                 out.append(_characters(bytes(run)))
                 run.clear()
             if i not in self.silent:
-                out.append(" ⁇ " if i == self.unknown else self.pieces[i].replace(MARK, " "))
+                out.append(self.written[i])
         return "".join(out) + _characters(bytes(run))
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as bytes of 32-bit numbers."""
+        out = []
+        for i in range(0, len(texts), BLOCK):
+            lists = [segments(x) for x in texts[i : i + BLOCK]]
+            self.memo.learn(lists)
+            out += [b"".join(map(self.memo.__getitem__, x)) for x in lists]
+        return out
+
     def encode(self, text: str) -> list[int]:
-        lists = [segments(text)]
-        self.memo.learn(lists)
-        return [int(i) for x in lists[0] for i in self.memo[x][1].split(",")]
+        return np.frombuffer(self.encode_all([text])[0], "i4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Back to text, without the space mark that encoding puts in front."""
-        return self.joined(ids).removeprefix(" ") if ids and self.pieces[ids[0]].startswith(MARK) else self.joined(ids)
+        text = self.joined(ids)
+        return text.removeprefix(" ") if ids and self.pieces[ids[0]].startswith(MARK) else text
 
 
 def _characters(run: bytes) -> str:
@@ -165,52 +174,51 @@ def load(path: str) -> MergeEncoder:
     return MergeEncoder(path)
 
 
-DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-
-
-def digests(text: Column, model: str) -> Column:
-    """Number and SHA-256 of the ids of each text, and of the text decoded from them."""
-
-    @F.pandas_udf(DIGESTS)
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = load(model)
-        for batch in batches:
-            texts, rows = batch.tolist(), []
-            for i in range(0, len(texts), BLOCK):
-                lists = [segments(x) for x in texts[i : i + BLOCK]]
-                encoder.memo.learn(lists)
-                for parts in lists:
-                    made = list(map(encoder.memo.__getitem__, parts))
-                    n, ids, text = zip(*made) if made else ((), (), ())
-                    rows.append((sum(n), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256("".join(text)[1:].encode()).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encode(text)
-
-
 def token_ids(text: Column, model: str) -> Column:
     """The ids of each text as an array."""
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = load(model)
         for batch in batches:
-            yield pd.Series([encoder.encode(x) for x in batch])
+            yield _lists(encoder.encode_all(batch.to_pylist()))
 
     return encode(text)
 
 
+def _lists(found: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, found)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "i4")))
+
+
 def decoded(ids: Column, model: str) -> Column:
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The text of each array of ids."""
+
+    @F.arrow_udf("string")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = load(model)
         for batch in batches:
-            yield pd.Series([encoder.decode([int(i) for i in x]) for x in batch])
+            values, ends = batch.values.to_numpy().tolist(), batch.offsets.to_pylist()  # whole lists at once: one by one is slow
+            yield pa.array([encoder.decode(values[a:b]) if valid else None for a, b, valid in zip(ends, ends[1:], batch.is_valid().to_pylist())], pa.string())
 
     return decode(ids)
 
 
+def encode_tokens(docs: DataFrame, model: str, keep: list[str] | None = None) -> DataFrame:
+    """Columns keep of docs (doc_id alone unless named) with ids, the tokens of each text, and decoded, the text that these ids give."""
+    keep = ["doc_id"] if keep is None else keep
+    out = docs.select(F.struct(*keep).alias("_row"), token_ids(text_or_empty(), model).alias("_ids"))
+    return out.select("_row.*", F.col("_ids").alias("ids"), decoded(F.col("_ids"), model).alias("decoded"))
+
+
+def digests() -> list[Column]:
+    """n_tokens, ids_sha256 and decoded_sha256 from the columns of encode_tokens."""
+    listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return [F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+
+
 def encode_documents(docs: DataFrame, model: str, keep: list[str] | None = None) -> DataFrame:
-    """Columns keep of docs (doc_id alone unless named) with n_tokens, ids_sha256 and decoded_sha256."""
+    """Columns keep of docs (doc_id alone unless named) with n_tokens, ids_sha256 and decoded_sha256, from the tokens and the text decoded from them."""
     keep = ["doc_id"] if keep is None else keep
-    return docs.select(F.struct(*keep).alias("_row"), digests(text_or_empty(), model).alias("_d")).select("_row.*", "_d.*")
+    held = docs.select(F.struct(*keep).alias("_row"), "text")
+    return encode_tokens(held, model, ["_row"]).select("_row.*", *digests())

@@ -1,7 +1,9 @@
 import hashlib
 
+from pyspark.sql import functions as F
 from test_token_counts import MODEL, ODD, drawn
 
+import corpus_pipeline
 from factweave.llm import merge_encoding, tokens
 
 
@@ -42,3 +44,22 @@ def test_rows(spark):
     assert merge_encoding.encode_documents(docs.limit(0), MODEL).count() == 0
     back = docs.select(merge_encoding.decoded(merge_encoding.token_ids(docs.text, MODEL), MODEL).alias("t")).where("text is not null")
     assert [r.t for r in back.collect()] == [t for _, t, _ in rows if t is not None]
+
+
+def test_tokens_and_the_text_they_give_are_results(spark):
+    rows = [(1, "ab c"), (1, "ab c"), (None, None), (2, ""), (3, " the é 中 x " * 300), (4, "x\ty\nz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = merge_encoding.encode_tokens(docs, MODEL)
+    assert out.columns == ["doc_id", "ids", "decoded"]
+    library = tokens.load(MODEL).library
+    want = [(d, library.encode(t or ""), library.decode(library.encode(t or ""))) for d, t in rows]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    # The text is read from the ids alone: other ids give another text.
+    other = out.where("doc_id = 1").limit(1).select(merge_encoding.decoded(F.slice("ids", 1, 1), MODEL).alias("t")).first()
+    assert other.t == library.decode(library.encode("ab c")[:1])
+
+
+def test_pipeline_ends_in_tokens(spark):
+    docs = spark.createDataFrame([(1, "ab c", "en", "s", 4)], "doc_id long, text string, lang string, source string, n_chars long")
+    row = corpus_pipeline.STAGES[-1][1](spark, docs, "").first()
+    assert row.ids == tokens.load(MODEL).library.encode("ab c") and row.decoded == "ab c" and row.n_tokens == len(row.ids)
