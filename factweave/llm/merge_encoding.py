@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import text_or_empty
+from factweave.llm.common import passed, text_or_empty
 from factweave.llm.tokens import BLOCK, MARK, MEMO, Memo, segments
 
 PAIRS = 400_000  # compatibility results kept
@@ -43,12 +43,17 @@ class MergeEncoder:
         self.silent = {i for i, k in enumerate(kinds) if m.is_control(i)}
         self.unknown = m.unk_id()
         self.written = [" ⁇ " if i == self.unknown else p.replace(MARK, " ") for i, p in enumerate(self.pieces)]
-        self.special = self.silent | set(self.bytes_of)
         self.id_of = {p: i for i, p in enumerate(self.pieces) if not any(kinds[i])}
         self.score = {p: m.get_score(i) for p, i in self.id_of.items()}
         if any(c not in self.id_of for p in self.id_of for c in p) or any(MARK in p.lstrip(MARK) for p in self.id_of) or m.normalize(" a  b ") != "▁▁a▁▁b▁":
             raise ValueError("the vocabulary has a merge that this encoder does not follow")
         self.size = [len(p) for p in self.pieces]
+        raw = [b"" if i in self.silent else bytes([self.bytes_of[i]]) if i in self.bytes_of else w.encode() for i, w in enumerate(self.written)]
+        self.width = np.array([len(x) for x in raw])
+        self.place = np.cumsum(self.width) - self.width
+        self.blob = np.frombuffer(b"".join(raw), "u1")
+        self.marked = np.array([p.startswith(MARK) for p in self.pieces], "i8")
+        self.high = np.array([self.bytes_of.get(i, 0) > 127 for i in range(len(raw))])
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for p, i in self.id_of.items():
             if len(p) > 1:  # single characters need no search
@@ -128,8 +133,6 @@ class MergeEncoder:
 
     def joined(self, ids: list[int]) -> str:
         """The text of ids, each space mark as a space; bytes that form no character as the replacement sign."""
-        if self.special.isdisjoint(ids):
-            return "".join(map(self.written.__getitem__, ids))
         out, run = [], bytearray()
         for i in ids:
             if i in self.bytes_of:
@@ -159,13 +162,34 @@ class MergeEncoder:
         text = self.joined(ids)
         return text.removeprefix(" ") if ids and self.pieces[ids[0]].startswith(MARK) else text
 
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of lists of ids that lie one after the other, list k from ends[k] to ends[k + 1]: the bytes of all tokens are gathered at once."""
+        first = ids[ends[:-1][np.diff(ends) > 0]]
+        wide = self.width[ids]
+        at = np.concatenate(([0], np.cumsum(wide)))
+        data = self.blob[np.repeat(self.place[ids] - at[:-1], wide) + np.arange(at[-1])]
+        cuts = at[ends]
+        begin = cuts[:-1].copy()
+        begin[np.diff(ends) > 0] += self.marked[first]
+        beyond = np.concatenate(([0], np.cumsum(self.high[ids])))[ends]
+        plain, broken = data.tobytes(), np.flatnonzero(np.diff(beyond))
+        if not len(broken) and (begin == cuts[:-1]).all():
+            return pa.StringArray.from_buffers(len(begin), pa.py_buffer(cuts.astype("i4")), pa.py_buffer(plain))
+        texts = [plain[a:b] for a, b in zip(begin.tolist(), cuts[1:].tolist())]
+        for k in broken.tolist():  # bytes that may form no character
+            texts[k] = self.decode(ids[ends[k] : ends[k + 1]].tolist()).encode()
+        return pa.array(texts, pa.binary()).cast(pa.string())
+
 
 def _characters(run: bytes) -> str:
     """Bytes as UTF-8; each byte that belongs to no character is one replacement sign."""
-    try:
-        return run.decode()
-    except UnicodeDecodeError as e:
-        return run[: e.start].decode() + "�" + _characters(run[e.start + 1 :])
+    out = []
+    while True:
+        try:
+            return "".join(out) + run.decode()
+        except UnicodeDecodeError as e:
+            out += [run[: e.start].decode(), "\ufffd"]
+            run = run[e.start + 1 :]
 
 
 @lru_cache(maxsize=2)
@@ -174,43 +198,60 @@ def load(path: str) -> MergeEncoder:
     return MergeEncoder(path)
 
 
+TEXTS = 256  # of which ids and text are held at a time
+
+
+def _lists(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(found), "i4"), np.cumsum([0, *map(len, found)]) // 4
+
+
+def encode_tokens(docs: DataFrame, model: str, keep: list[str] | None = None) -> DataFrame:
+    """Columns keep of docs (doc_id alone unless named) with ids, the tokens of each text, and decoded, the text that these ids give.
+
+    A column of keep that is named ids or decoded gives way to the result of that name.
+    """
+    keep = passed(keep, "ids", "decoded")
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *keep).alias("_row"), text_or_empty().alias("_text"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = load(model)
+        for batch in batches:
+            for i in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(i, TEXTS)
+                ids, ends = _lists(encoder.encode_all(some.column("_text").to_pylist()))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([some.column("_row"), lists, encoder.decode_all(ids, ends)], names=["_row", "ids", "decoded"])
+
+    out = rows.mapInArrow(encode, f"_row {rows.schema['_row'].dataType.simpleString()}, ids array<int>, decoded string")
+    return out.select(*[F.col(f"_row.`{c}`") for c in keep], "ids", "decoded")
+
+
 def token_ids(text: Column, model: str) -> Column:
-    """The ids of each text as an array."""
+    """The ids of each text as an array; null for a null text."""
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = load(model)
         for batch in batches:
-            yield _lists(encoder.encode_all(batch.to_pylist()))
+            texts = batch.to_pylist()
+            ids, ends = _lists(encoder.encode_all([x or "" for x in texts]))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids), mask=pa.array([x is None for x in texts], pa.bool_()))
 
     return encode(text)
 
 
-def _lists(found: list[bytes]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, found)]) // 4
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "i4")))
-
-
 def decoded(ids: Column, model: str) -> Column:
-    """The text of each array of ids."""
+    """The text of each array of ids; null for a null array. Null elements are not allowed."""
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = load(model)
         for batch in batches:
-            values, ends = batch.values.to_numpy().tolist(), batch.offsets.to_pylist()  # whole lists at once: one by one is slow
-            yield pa.array([encoder.decode(values[a:b]) if valid else None for a, b, valid in zip(ends, ends[1:], batch.is_valid().to_pylist())], pa.string())
+            yield pa.array([None if x is None else encoder.decode(x) for i in range(len(batch)) for x in batch.slice(i, 1).to_pylist()], pa.string())
 
     return decode(ids)
 
 
-def encode_tokens(docs: DataFrame, model: str, keep: list[str] | None = None) -> DataFrame:
-    """Columns keep of docs (doc_id alone unless named) with ids, the tokens of each text, and decoded, the text that these ids give."""
-    keep = ["doc_id"] if keep is None else keep
-    out = docs.select(F.struct(*keep).alias("_row"), token_ids(text_or_empty(), model).alias("_ids"))
-    return out.select("_row.*", F.col("_ids").alias("ids"), decoded(F.col("_ids"), model).alias("decoded"))
-
-
 def digests() -> list[Column]:
     """n_tokens, ids_sha256 and decoded_sha256 from the columns of encode_tokens."""
     listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
@@ -219,6 +260,5 @@ def digests() -> list[Column]:
 
 def encode_documents(docs: DataFrame, model: str, keep: list[str] | None = None) -> DataFrame:
     """Columns keep of docs (doc_id alone unless named) with n_tokens, ids_sha256 and decoded_sha256, from the tokens and the text decoded from them."""
-    keep = ["doc_id"] if keep is None else keep
-    held = docs.select(F.struct(*keep).alias("_row"), "text")
-    return encode_tokens(held, model, ["_row"]).select("_row.*", *digests())
+    keep = passed(keep, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")
+    return encode_tokens(docs, model, keep).select(*[f"`{c}`" for c in keep], *digests())
