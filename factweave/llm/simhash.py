@@ -1,15 +1,17 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked where few bits differ.
 
 Search. A fingerprint is embedded as the bit counts of its 32 two-bit segments. The Manhattan distance of two such points is at most
-the number of differing bits, so linked fingerprints lie within RADIUS of each other. At that distance no more than RADIUS of the 32
-coordinates differ: with the coordinates in RADIUS + 2 blocks, two whole blocks are equal. So each point goes to the grid cells
-of its pairs of blocks, cells are joined, pairs beyond the Manhattan distance go, and the rest is verified on the bits.
+the number of differing bits, so linked fingerprints lie within the radius of each other. At that distance no more than `radius` of the 32
+coordinates differ: with the coordinates in more blocks than that, all but `radius` of the blocks are equal. So each point goes to the grid cells
+of all such choices of blocks, cells are joined, pairs beyond the Manhattan distance go, and the rest is verified on the bits. The number of
+blocks follows from the number of points, so that a cell of the grid has more possible values than there are points.
 
 Counts are written in unary (0: 00, 1: 01, 2: 11), which makes the distance the number of differing bits of the written form.
 
-Cells of more than CROWDED points (many near copies) are not paired. Their points are linked through hubs instead: two
-fingerprints differ in at most two bits if and only if some value differs from each in at most one. A hub has 65 members at most,
-all of them linked, so one link from each to the smallest keeps every class whole.
+Points of cells that stay crowded (more than CROWDED of them: large groups of near copies) go to finer cells, as long as there are any. What crowds the finest
+too is not paired but linked through hubs: two fingerprints differ in at most two bits if and only if some value differs from each in at
+most one. A hub has 65 members at most, all of them linked, so one link from each to the smallest keeps every class whole. Hubs know radius 2 only;
+at another radius the finest cells are paired whole.
 """
 
 from __future__ import annotations
@@ -30,6 +32,19 @@ SHINGLE = 3
 CROWDED = 32
 LOW_BITS = 0x5555555555555555
 SEED = 42
+SEGMENTS = 32
+SPREAD = 1.5  # bits that one count holds, about
+FINER = (2, 3, 4, 6, 10)  # blocks beyond the radius, of ever finer grids
+ROWS = 1 << 16  # hashes whose bits are counted at a time
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Signed fingerprint of 64-bit hashes: a bit is set if it is in over half of them."""
+    bits = np.zeros(64, "int64")
+    for i in range(0, len(hashes), ROWS):
+        part = hashes[i : i + ROWS]
+        bits += np.unpackbits(part.view("u1").reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype="int64")
+    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def fingerprint_of(text: str, shingle: int = SHINGLE) -> int:
@@ -44,8 +59,7 @@ def fingerprint_of(text: str, shingle: int = SHINGLE) -> int:
     ends = list(accumulate(len(w) + 1 for w in words))
     digest = xxhash.xxh64_intdigest
     hashes = [digest(line[s:e], SEED) for s, e in zip([0, *ends[: n - 1]], [x - 1 for x in ends[min(len(words), shingle) - 1 :]])]
-    bits = np.unpackbits(np.array(hashes, "<u8").view("u1").reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype="int64")
-    return int(np.packbits(2 * bits > n, bitorder="little").view("<i8")[0])
+    return majority(np.array(hashes, "<u8"))
 
 
 def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
@@ -63,29 +77,49 @@ def embedding(f: Column) -> Column:
     return low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
-def _block(e: Column, number: int, blocks: int) -> Column:
-    """The bits of one block of coordinates."""
-    cut = [64 * k // blocks // 2 * 2 for k in range(blocks + 1)]
-    return F.shiftrightunsigned(e, cut[number]).bitwiseAND(F.lit((1 << cut[number + 1] - cut[number]) - 1))
+def grid(blocks: int, radius: int) -> list[int]:
+    """Masks of an embedded point, one for each choice of blocks that may differ; the others name the cell."""
+    cuts = [2 * (SEGMENTS * k // blocks) for k in range(blocks + 1)]
+    block = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
+    masks = [(1 << 64) - 1 - sum(block[i] for i in away) for away in combinations(range(blocks), radius)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def near_pairs(points: DataFrame, radius: int = RADIUS, crowded: int = CROWDED) -> DataFrame:
-    """Links a, b between the distinct fingerprints f of points: every pair within radius in cells of up to crowded points; of other cells, links that join the same classes."""
-    if radius != 2:
-        raise ValueError("hubs join fingerprints at two bits")
-    blocks = radius + 2
+def grids(radius: int, points: int) -> list[int]:
+    """Numbers of blocks, ever finer: from the coarsest whose cells have more values than there are points."""
+    sizes = [radius + k for k in FINER if radius + k <= SEGMENTS]
+    wide = [b for b in sizes if 2 ** (SPREAD * SEGMENTS * (b - radius) / b) > points]
+    return wide or sizes[-1:]
+
+
+def _cells(points: DataFrame, blocks: int, radius: int) -> DataFrame:
+    """cell, key, f, e of each point in each of its cells that holds another, with the cell's count."""
     e = embedding(F.col("f"))
-    cells = F.array(*[F.struct(F.lit(n).alias("cell"), F.shiftleft(_block(e, i, blocks), 16).bitwiseOR(_block(e, j, blocks)).alias("key")) for n, (i, j) in enumerate(combinations(range(blocks), 2))])
+    cells = F.array(*[F.struct(F.lit(n).alias("cell"), e.bitwiseAND(F.lit(m)).alias("key")) for n, m in enumerate(grid(blocks, radius))])
     cells = points.select("f", e.alias("e"), F.explode(cells).alias("c")).select("c.cell", "c.key", "f", "e")
     shared = written(cells.groupBy("cell", "key").count().where("count > 1"))
-    held = written(cells.join(shared, ["cell", "key"]))
-    light = held.where(F.col("count") <= crowded)
-    other = light.select("cell", "key", F.col("f").alias("g"), F.col("e").alias("h"))
-    pairs = light.join(other, ["cell", "key"]).where("f < g").where(F.bit_count(F.col("e").bitwiseXOR(F.col("h"))) <= radius)
-    pairs = pairs.where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius).select(F.col("f").alias("a"), F.col("g").alias("b"))
+    return written(cells.join(shared, ["cell", "key"]))
+
+
+def near_pairs(points: DataFrame, radius: int = RADIUS, crowded: int = CROWDED) -> DataFrame:
+    """Links a, b between the distinct fingerprints f of points: every pair within radius; of points that crowd the finest cells, links that join the same classes."""
+    pairs = None
+    levels = grids(radius, points.count())
+    for blocks in levels:
+        held = _cells(points, blocks, radius)
+        finest = blocks == levels[-1]
+        light = held if finest and radius != 2 else held.where(F.col("count") <= crowded)
+        other = light.select("cell", "key", F.col("f").alias("g"), F.col("e").alias("h"))
+        met = light.join(other, ["cell", "key"]).where("f < g").where(F.bit_count(F.col("e").bitwiseXOR(F.col("h"))) <= radius)
+        met = met.where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius).select(F.col("f").alias("a"), F.col("g").alias("b"))
+        pairs = met if pairs is None else pairs.unionByName(met)
+        points = written(held.where(F.col("count") > crowded).select("f").distinct())
+        if finest or points.isEmpty():
+            break
+    if radius != 2:
+        return pairs.distinct()
     flips = F.array(F.lit(0).cast("bigint"), *[F.lit(1 << k if k < 63 else -(1 << 63)).cast("bigint") for k in range(64)])
-    hubs = held.where(F.col("count") > crowded).select("f").distinct()
-    hubs = hubs.select("f", F.explode(F.transform(flips, lambda b: F.col("f").bitwiseXOR(b))).alias("hub"))
+    hubs = points.select("f", F.explode(F.transform(flips, lambda b: F.col("f").bitwiseXOR(b))).alias("hub"))
     first = hubs.groupBy("hub").agg(F.min("f").alias("a"), F.max("f").alias("z")).where("a < z").select("hub", "a")
     stars = hubs.join(first, "hub").where("a < f").select("a", F.col("f").alias("b"))
     return pairs.unionByName(stars).distinct()
