@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 import corpus_pipeline
 from factweave.llm import near_copies, simhash
 
@@ -12,10 +14,17 @@ def plain(text):
     return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
-def classes(texts):
+def bits(text):
+    """Fingerprint by counting each bit of the shingles' hashes."""
+    hashes = near_copies.shingles((text or "").encode()).tolist()
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def classes(texts, radius=near_copies.RADIUS):
     """Brute force: the smallest position that each can reach."""
     sets = [plain(t) for t in texts]
-    links = [(i, j) for i in range(len(sets)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    prints = [bits(t) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) and (prints[i] ^ prints[j]).bit_count() <= radius]
     least, changed = list(range(len(sets))), True
     while changed:
         changed = False
@@ -45,7 +54,7 @@ def test_prefixes_of_similar_sets_meet():
     sets = [near_copies.shingles((t or "").encode()) for t in corpus(random.Random(2))]
     last = sets[-60][:30]
     for some in (None, last):
-        heads = [set(near_copies.prefix(s, 0.8, None if some is None else some).tolist()) for s in sets]
+        heads = [set(np.concatenate(near_copies.prefix(s, 0.8, some)).tolist()) for s in sets]
         for i, a in enumerate(sets):
             for j, b in enumerate(sets[:i]):
                 if near_copies.similar(a, b, 0.8):
@@ -57,8 +66,11 @@ def test_classes_equal_brute_force(spark):
     docs = spark.createDataFrame([(i, -i, t) for i, t in enumerate(texts)], "_a long, _b long, text string").repartition(3)
     want = classes(texts)
     assert len(texts) > 200 and 60 < len(set(want)) < len(texts) - 60
-    for crowded in (2, 32):
-        got = {r._a: r["class"] for r in near_copies.classes_of(docs, crowded=crowded).collect()}
+    # At a narrow radius the bits decide, at the wide one no similar pair is lost.
+    assert classes(texts, 64) == want and len(set(classes(texts, 3))) > len(set(want))
+    for crowded, radius in ((2, 20), (32, 3)):
+        got = {r._a: r["class"] for r in near_copies.classes_of(docs, crowded=crowded, radius=radius).collect()}
+        want = classes(texts, radius)
         assert len({(got[i], w) for i, w in enumerate(want)}) == len(set(want)) == len(set(got.values()))
     assert near_copies.classes_of(docs.limit(0)).count() == 0
 
@@ -71,3 +83,17 @@ def test_stage_finds_copies_beyond_two_bits(spark):
     assert sorted(r.doc_id for r in got) == sorted(set(classes(texts))) and {tuple(r) for r in got} <= set(rows)
     f = [simhash.fingerprint_of(t or "") for t in texts]
     assert any(bin((f[i] ^ f[c]) & (1 << 64) - 1).count("1") > 2 for i, c in enumerate(classes(texts)) if c != i)
+
+
+def test_cells_of_one_batch_and_of_many_rows():
+    """Cells that pass by in several batches are paired once; crowded ones come out whole, wherever batches are cut."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    rows = sorted((c, s, 10, rng.getrandbits(63)) for c, n in ((1, 1), (5, 3), (6, 40), (9, 33), (12, 32), (13, 2)) for s in rng.sample(range(1000), n))
+    for width in (1, 2, 7, 500):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + width])], names=list("csnf")) for i in range(0, len(rows), width)]
+        got = pa.Table.from_batches(near_copies._paired(0.8, 64, 32)(iter(batches)), schema=pa.schema([("c", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("f", pa.int64())])).to_pylist()
+        many = [(r["c"], r["a"], r["n"], r["f"]) for r in got if r["b"] is None]
+        assert sorted(many) == [r for r in rows if r[0] in (6, 9)]
+        assert sum(r["b"] is not None for r in got) == 3 + 32 * 31 // 2 + 1
