@@ -56,6 +56,11 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def passed(keep: list[str] | None, *own: str) -> list[str]:
-    """The columns that go through an operator: doc_id unless named. One with the name of a result gives way to that result."""
-    return [c for c in (["doc_id"] if keep is None else keep) if c.lower() not in own]
+def carried(keep: list[str] | None, *own: str) -> tuple[Column, list[Column]]:
+    """The columns that go through an operator (doc_id unless named): as a struct _row, and as the columns to select from it at the end.
+
+    One with the name of a result is called <name>_in.
+    """
+    names = {c: f"{c}_in" if c.lower() in own else c for c in (["doc_id"] if keep is None else keep)}
+    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()]).alias("_row")
+    return row, [F.col(f"_row.`{n}`") for n in names.values()]

@@ -35,7 +35,8 @@ def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repeat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(documents(spark, sf_dir))
+    """text, what is left of each document, follows the contract's columns."""
+    return repeats.remove_repeats(documents(spark, sf_dir), with_text=True).drop("kept")
 
 
 def op6_merge_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ equals. So strings are compared only at equal anchors, and each anchor speaks fo
 4. Anchors with more than CROWDED different stretches (the edge of a passage in very many documents) are not gathered. Their stretches are cut
    at the same places, and the parts are counted by hash (128 bits) across the cluster; only parts that recur in part are cut finer, at last into
    single strings. That finds the same strings.
+5. Maximal repeats of any length are those of neighbouring anchors put together, where they have the same occurrences (repeat_groups).
 
 Rows: a null text counts as empty; texts shorter than LENGTH lose nothing. Texts that occur twice lose all of their strings. Rows that repeat in full
 keep a result each. Other columns pass through `keep`.
@@ -24,10 +25,10 @@ from functools import cache, reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.llm.common import text_or_empty, written
+from factweave.llm.common import carried, text_or_empty, written
 
 LENGTH = 400
 GRAM = 64
@@ -36,6 +37,7 @@ BLOCK = 1 << 18  # strings looked at together; the lowest 20 bits of a sort key
 PLACE = np.uint64((1 << 20) - 1)
 BASE = 0x9E3779B97F4A7C15  # an odd multiplier
 SHUFFLE = np.uint64(0xD6E8FEB86659FD93)
+RING = np.uint64((1 << 61) - 1)  # running sums are kept modulo 2^61, so that their differences are longs
 
 
 # --- anchors --------------------------------------------------------------------------------------------------------
@@ -146,7 +148,7 @@ def repeated_starts(found: list[tuple[int, bytes]], length: int = LENGTH) -> lis
 
 # --- Spark ------------------------------------------------------------------------------------------------------------
 
-ANCHORS = "d long, e long, lo int, hi int, at int, k long, t long"
+ANCHORS = "d long, e long, lo int, hi int, at int, k long, t long, before long, after long"
 NEEDS = "k long, t long, n long, d long, e long, lo int, at int, crowd long, s binary"
 RANGES = "d long, e long, lo int, hi int"
 
@@ -155,17 +157,21 @@ def _anchors(length: int, gram: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        schema = pa.schema([("d", pa.int64()), ("e", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("at", pa.int32()), ("k", pa.int64()), ("t", pa.int64())])
+        schema = pa.schema([("d", pa.int64()), ("e", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("at", pa.int32()), ("k", pa.int64()), ("t", pa.int64()), ("before", pa.int64()), ("after", pa.int64())])
         for batch in batches:
-            counts, parts, digests = [], [], []
+            counts, parts, digests, sums = [], [], [], []
             for data in batch.column("b").to_pylist():
                 lo, hi, at, k = stretches(data, length, gram)
                 counts.append(len(lo))
                 parts.append((lo, hi, at - lo, k))
-                digests += [xxhash.xxh3_64_intdigest(data[a : b + length]) for a, b in zip(lo.tolist(), hi.tolist())]
+                t = np.array([xxhash.xxh3_64_intdigest(data[a : b + length]) for a, b in zip(lo.tolist(), hi.tolist())], "u8")
+                digests.append(t)
+                sums.append(np.cumsum(t * SHUFFLE ^ k.view("u8")))
             if not digests:
                 continue
-            columns = [np.repeat(batch.column(c).to_numpy(), counts) for c in ("d", "e")] + [np.concatenate(x) for x in zip(*parts)] + [np.array(digests, "u8").view("i8")]
+            t, after = np.concatenate(digests), np.concatenate(sums)
+            columns = [np.repeat(batch.column(c).to_numpy(), counts) for c in ("d", "e")] + [np.concatenate(x) for x in zip(*parts)]
+            columns += [t.view("i8"), (after - (t * SHUFFLE ^ columns[-1].view("u8")) & RING).view("i8"), (after & RING).view("i8")]
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype(), copy=False)) for c, f in zip(columns, schema)], schema=schema)
 
     return find
@@ -218,11 +224,15 @@ def _scan(length: int):
     return _by_anchor(ranges, ["d", "e", "lo", "hi"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()])
 
 
-GROUPS = "k long, t long, x binary, begin int, n_bytes int"
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+GROUPS = "k long, t long, g long, begin int, n_bytes int"
 
 
 def _groups(length: int):
-    """Members of each maximal repeat, as the stretch and the place in it where the repeat begins."""
+    """Members of each maximal repeat around an anchor: their stretches, and where the repeat begins from the anchor."""
 
     def groups(held: list[tuple]) -> list[tuple]:
         import xxhash
@@ -230,38 +240,38 @@ def _groups(length: int):
         out = []
         for left, right, members in maximal_repeats([r[7][: r[6]][::-1] for r in held], [r[7][r[6] :] for r in held], length):
             at, s = held[members[0]][6:]
-            name = xxhash.xxh3_128_digest(s[at - left : at + right])
-            out += [(held[m][0], held[m][1], name, held[m][6] - left, left + right) for m in members]
+            name = _signed(xxhash.xxh3_64_intdigest(s[at - left : at + right], 1))
+            out += [(held[m][0], held[m][1], name, -left, left + right) for m in members]
         return out
 
-    return _by_anchor(groups, [c.split()[0] for c in GROUPS.split(", ")], [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32()])
+    return _by_anchor(groups, [c.split()[0] for c in GROUPS.split(", ")], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()])
 
 
 STEPS = (32, 4, 1)  # strings of crowded anchors are taken by so many neighbours at first, then fewer
-PARTS = "k long, t long, n long, d long, e long, lo int, first int, last int, x binary, y binary"
+PARTS = "k long, t long, n long, d long, e long, lo int, at int, first int, last int, up binary, x binary, y binary"
 
 
 def _parts(length: int, step: int):
     """Stretches cut at places counted from the anchor into parts of `step` strings, within ranges of starts if there are any.
 
-    x is the hash of the bytes that all strings of an uncut part share, y that of all bytes of the part.
+    x is the hash of the bytes that all strings of an uncut part share, y that of all bytes of the part; up is y of the part that is cut finer.
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         names = [c.split()[0] for c in PARTS.split(", ")]
-        types = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.binary()] * 2
+        types = [pa.int64()] * 5 + [pa.int32()] * 4 + [pa.binary()] * 3
         for batch in batches:
             rows = []
             for *head, lo, at, s, ranges in zip(*(batch.column(c).to_pylist() for c in ("k", "t", "n", "d", "e", "lo", "at", "s", "ranges"))):
-                for r in ranges or [{"a": 0, "b": len(s) - length}]:
+                for r in ranges or [{"a": 0, "b": len(s) - length, "up": None}]:
                     begin = r["a"]
                     while begin <= r["b"]:
                         low = begin - (begin - at) % step  # where the part begins if it is not cut
                         last = min(low + step - 1, r["b"])
                         shared = s[low + step - 1 : low + length]
-                        rows.append((*head, lo, begin, last, xxhash.xxh3_128_digest(shared), xxhash.xxh3_128_digest(s[begin : last + length])))
+                        rows.append((*head, lo, at, begin, last, r["up"], xxhash.xxh3_128_digest(shared), xxhash.xxh3_128_digest(s[begin : last + length])))
                         begin = last + 1
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
@@ -269,24 +279,42 @@ def _parts(length: int, step: int):
     return split
 
 
-def crowded_ranges(pieces: DataFrame, length: int, steps: tuple[int, ...] = STEPS) -> DataFrame:
-    """Ranges of repeated starts of stretches that meet at crowded anchors, without gathering an anchor's stretches.
+def crowded_parts(pieces: DataFrame, length: int, steps: tuple[int, ...] = STEPS) -> Iterator[DataFrame]:
+    """Parts of stretches that meet at crowded anchors, with the number c of kinds that hold each in full, without gathering an anchor's stretches; ever finer ones.
 
     A part whose bytes recur in full is repeated; one whose shared bytes don't recur has no repeated string; what lies between is cut finer.
+    One of equal parts stands for all of them.
     """
-    found, asked = [], pieces.withColumn("ranges", F.lit(None).cast("array<struct<a:int,b:int>>"))
+    asked = pieces.withColumn("ranges", F.lit(None).cast("array<struct<a:int,b:int,up:binary>>"))
     for step in steps:
         parts = written(asked.select("k", "t", "n", "d", "e", "lo", "at", "s", "ranges").mapInArrow(_parts(length, step), PARTS))
         kinds = written(parts.groupBy("x", "y").agg(F.count("*").alias("c"), F.min(F.struct("k", "t")).alias("one")))
         shared = written(kinds.groupBy("x").agg(F.count("*").alias("kinds"), F.sum("c").alias("all")).where("all > 1").select("x", "kinds"))
         parts = written(parts.join(written(kinds.join(shared, "x")), ["x", "y"]))
-        found.append(parts.where("c > 1 and n = 1").select("d", "e", (F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + F.col("last")).alias("hi")))
+        yield parts
         if step == steps[-1]:
             break
-        # One of the equal parts stands for all of them where others share some of its bytes.
         finer = parts.where((F.col("kinds") > 1) & ((F.col("c") == 1) | (F.col("one") == F.struct("k", "t"))))
-        finer = finer.groupBy("k", "t").agg(F.collect_list(F.struct(F.col("first").alias("a"), F.col("last").alias("b"))).alias("ranges"))
+        finer = finer.groupBy("k", "t").agg(F.collect_list(F.struct(F.col("first").alias("a"), F.col("last").alias("b"), F.col("y").alias("up"))).alias("ranges"))
         asked = pieces.join(written(finer), ["k", "t"])
+
+
+def crowded_ranges(pieces: DataFrame, length: int) -> DataFrame:
+    """Ranges of repeated starts of stretches that meet at crowded anchors and occur once."""
+    found = [p.where("c > 1 and n = 1").select("d", "e", (F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + F.col("last")).alias("hi")) for p in crowded_parts(pieces, length)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def crowded_groups(pieces: DataFrame, length: int) -> DataFrame:
+    """Members of each part that recurs at crowded anchors, as _groups gives them. A finer part holds for all kinds that the part above it stands for."""
+    found, members = [], None
+    for parts in crowded_parts(pieces, length):
+        rows = parts.select("k", "t", "up", "y", "c", (F.col("first") - F.col("at")).alias("begin"), (F.col("last") - F.col("first") + length).cast("int").alias("n_bytes"))
+        if members is not None:
+            above = members.select(F.col("k").alias("_k"), F.col("t").alias("_t"), F.col("y").alias("up"))
+            rows = rows.drop("k", "t").join(above, "up").select(F.col("_k").alias("k"), F.col("_t").alias("t"), "up", "y", "c", "begin", "n_bytes")
+        members = written(rows.distinct())
+        found.append(members.where("c > 1").select("k", "t", F.xxhash64("y", "n_bytes").alias("g"), "begin", "n_bytes"))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -319,16 +347,70 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, cr
     return found if heavy.isEmpty() else found.unionByName(crowded_ranges(heavy, length))
 
 
-def repeat_groups(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, crowded: int = CROWDED) -> DataFrame:
-    """d, e, start, n_bytes and repeat (a digest) of all occurrences of each maximal repeat within the stretches of an anchor.
+def occurrences(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, crowded: int = CROWDED) -> DataFrame:
+    """k, g, n, d, e, start, lo, hi, before, after: the occurrences of each maximal repeat (k, g) of n bytes within the stretches of an anchor.
 
-    Stretches that recur in full are one group each. At crowded anchors only those are listed; repeated_ranges covers all of their strings.
+    lo and hi are those of the stretch that holds the repeat, before and after running sums over the stretches of the text without and with it.
     """
     seen, pieces = compared(texts, length, gram)
-    groups = written(_in_order(pieces, crowded).mapInArrow(_groups(length), GROUPS))
-    part = seen.select("k", "t", "d", "e", "lo").join(groups, ["k", "t"]).select("d", "e", (F.col("lo") + F.col("begin")).alias("start"), "n_bytes", F.lower(F.hex("x")).alias("repeat"))
-    whole = seen.where("n > 1").select("d", "e", F.col("lo").alias("start"), (F.col("hi") - F.col("lo") + length).alias("n_bytes"), F.lower(F.concat(F.hex("k"), F.lit("-"), F.hex("t"))).alias("repeat"))
-    return part.unionByName(whole)
+    groups = _in_order(pieces, crowded).mapInArrow(_groups(length), GROUPS)
+    heavy = pieces.where(F.col("crowd") > crowded)
+    if not heavy.isEmpty():
+        groups = groups.unionByName(crowded_groups(heavy, length))
+    place = ["d", "e", (F.col("lo") + F.col("at") + F.col("begin")).alias("start"), "lo", "hi", "before", "after"]
+    part = seen.join(written(groups.distinct()), ["k", "t"]).select("k", "g", F.col("n_bytes").alias("n"), *place)
+    whole = seen.where("n > 1").select("k", F.col("t").alias("g"), (F.col("hi") - F.col("lo") + length).alias("n"), "d", "e", F.col("lo").alias("start"), "lo", "hi", "before", "after")
+    return written(part.unionByName(whole).distinct())
+
+
+def repeat_groups(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, crowded: int = CROWDED) -> DataFrame:
+    """d, e, start, n_bytes and repeat (a name) of all occurrences of each maximal repeat of texts(d, e, b), of any length.
+
+    The repeats of neighbouring anchors are one if they occur at the same places, a fixed number of bytes apart, and either overlap, if need be by the rest of
+    their stretches where that is equal at all these places, or have stretches between them that are. (A repeat reaches beyond all starts of its own stretch, so
+    it meets the next stretch.) Places are compared from the first one on, as a hash of all; so groups are never gathered.
+    """
+    found = occurrences(texts, length, gram, crowded)
+    key = ["k", "g", "n"]
+    first = written(found.groupBy(*key).agg(F.min(F.struct("d", "e", "start", "lo", "hi", "before", "after")).alias("f"), F.count("*").alias("c")))
+    from_first = [F.col("d"), F.col("e"), F.col("start") - F.col("f.start")]
+    beyond = lambda side: F.pmod(F.col(side) - F.col(f"f.{side}"), F.lit(1 << 61))
+    sums = [F.bit_xor(F.xxhash64(*from_first, *more)).alias(name) for name, more in (("places", []), ("left", [beyond("before")]), ("right", [beyond("after")]))]
+    nodes = written(found.join(first, key).groupBy(*key).agg(F.first("f").alias("f"), F.first("c").alias("c"), *sums))
+    nodes = nodes.where("c > 1").select(*key, "f.d", "f.e", "f.start", "f.lo", "f.hi", "c", "places", "left", "right", (F.col("f.start") + F.col("n")).alias("end"))
+    equal = F.col("left") == F.col("right")  # the whole stretch is, at all places
+    nodes = nodes.withColumn("near", F.when(equal, F.col("lo")).otherwise(F.col("start"))).withColumn("far", F.when(equal, F.col("hi") + length).otherwise(F.col("end")))
+    alike = Window.partitionBy("d", "e", "c", "places").orderBy("start", F.desc("end"), *key)
+    reach = F.max("far").over(alike.rowsBetween(Window.unboundedPreceding, -1))
+    between = (F.col("lo") > F.lag("hi").over(alike) + 1) & (F.col("left") == F.lag("right").over(alike))
+    goes_on = (F.col("near") <= reach) | between
+    nodes = nodes.withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("_run", F.sum("_new").over(alike.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = nodes.groupBy("d", "e", "c", "places", "_run").agg(F.min_by(F.struct(*key), F.struct("start", -F.col("end"), *key)).alias("_h"), F.max("c").alias("members"), F.min("start").alias("_from"), F.max("end").alias("_to"), F.min("near").alias("_near"), F.max("far").alias("_far"), F.min_by("lo", "start").alias("_lo"), F.max_by("hi", "end").alias("_hi"))
+    # A repeat that reaches the edge of its stretches may go on in a larger group.
+    at_left, at_right = F.col("_from") == F.col("_lo"), F.col("_to") == F.col("_hi") + length
+    whole = written(whole.select("_h.*", "members", (F.col("_to") - F.col("_from")).cast("int").alias("n_bytes"), at_left.alias("at_left"), at_right.alias("at_right")))
+    name = F.lower(F.concat_ws("-", F.hex("k"), F.hex("g"), F.hex("n_bytes")))
+    return prolonged(written(found.join(whole, key).select("d", "e", "start", "n_bytes", name.alias("repeat"), "members", "at_left", "at_right")))
+
+
+CELL = 4096  # bytes of a text within which groups are looked for together
+
+
+def prolonged(rows: DataFrame) -> DataFrame:
+    """Lengthens each group by the groups that overlap its edge wherever it occurs, as far as that goes."""
+    step = lambda c: F.floor(F.col(c) / CELL)
+    while True:
+        cover = rows.select("d", "e", F.col("repeat").alias("other"), F.col("start").alias("s"), (F.col("start") + F.col("n_bytes")).alias("z"), F.explode(F.sequence(step("start"), F.floor((F.col("start") + F.col("n_bytes")) / CELL))).alias("cell"))
+        edges = F.array(*[F.when(F.col(flag), F.struct(F.lit(right).alias("right"), at.alias("at"))) for right, flag, at in ((False, "at_left", F.col("start")), (True, "at_right", F.col("start") + F.col("n_bytes")))])
+        asked = rows.select("d", "e", "repeat", "members", "start", F.explode(F.array_compact(edges)).alias("_e")).select("d", "e", "repeat", "members", "start", "_e.*").withColumn("cell", step("at"))
+        met = asked.join(cover, ["d", "e", "cell"]).where((F.col("s") <= F.col("at")) & (F.col("at") <= F.col("z")) & F.when(F.col("right"), F.col("z") > F.col("at")).otherwise(F.col("s") < F.col("at")))
+        met = met.groupBy("repeat", "members", "right", "other", (F.col("s") - F.col("start")).alias("_shift")).agg(F.count("*").alias("c"), F.min(F.when(F.col("right"), F.col("z") - F.col("at")).otherwise(F.col("at") - F.col("s"))).alias("more"))
+        more = written(met.where("c = members").groupBy("repeat").agg(F.max(F.when(~F.col("right"), F.col("more"))).alias("l"), F.max(F.when(F.col("right"), F.col("more"))).alias("r")).na.fill(0))
+        if more.isEmpty():
+            break
+        rows = rows.join(more, "repeat", "left").na.fill(0, ["l", "r"])
+        rows = written(rows.select("d", "e", (F.col("start") - F.col("l")).cast("int").alias("start"), (F.col("n_bytes") + F.col("l") + F.col("r")).cast("int").alias("n_bytes"), "repeat", "members", (F.col("l") > 0).alias("at_left"), (F.col("r") > 0).alias("at_right")))
+    return rows.select("d", "e", "start", "n_bytes", "repeat")
 
 
 def runs(ranges: list[dict], length: int) -> list[tuple[int, int]]:
@@ -345,7 +427,7 @@ def runs(ranges: list[dict], length: int) -> list[tuple[int, int]]:
 def kept(data: Column, ranges: Column, length: int = LENGTH) -> Column:
     """Of each text, the runs removed and what is left."""
 
-    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, text string")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         import hashlib
 
@@ -357,18 +439,22 @@ def kept(data: Column, ranges: Column, length: int = LENGTH) -> Column:
                     left.append(b[at:begin])
                     at = end
                 rest = b"".join([*left, b[at:]])
-                rows.append((len(b), len(b) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest))
-            yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                rows.append((len(b), len(b) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest, rest.decode("utf-8", "replace")))
+            yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text"])
 
     return cut(data, ranges)
 
 
 def remove_repeats(docs: DataFrame, keep: list[str] | None = None, length: int = LENGTH, gram: int = GRAM, crowded: int = CROWDED, with_text: bool = False) -> DataFrame:
-    """Columns keep of docs (doc_id alone unless named), n_bytes, n_removed, n_spans and kept_sha256 of every row; with_text adds the bytes kept."""
-    keep = ["doc_id"] if keep is None else keep
+    """Columns keep of docs (doc_id alone unless named), n_bytes, n_removed, n_spans and kept_sha256 of every row.
+
+    with_text adds kept, the bytes that are left, and text, the same as a string, in which bytes of a character that was cut are replacement signs.
+    """
+    own = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "text"] if with_text else [])]
+    row, out = carried(keep, *own)
     text, name = text_or_empty(), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
-    rows = docs.select(F.struct(*keep).alias("_row"), F.xxhash64(name, text).alias("d"), F.xxhash64(F.lit(1), text, name).alias("e"), text.cast("binary").alias("b"))
+    rows = docs.select(row, F.xxhash64(name, text).alias("d"), F.xxhash64(F.lit(1), text, name).alias("e"), text.cast("binary").alias("b"))
     found = repeated_ranges(rows.select("d", "e", "b"), length, gram, crowded)
     found = written(found.groupBy("d", "e").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")))
-    out = rows.join(found, ["d", "e"], "left").select("_row", kept(F.col("b"), F.col("ranges"), length).alias("_k"))
-    return out.select("_row.*", "_k.n_bytes", "_k.n_removed", "_k.n_spans", "_k.kept_sha256", *(["_k.kept"] if with_text else []))
+    cut = rows.join(found, ["d", "e"], "left").select("_row", kept(F.col("b"), F.col("ranges"), length).alias("_k"))
+    return cut.select(*out, *[f"_k.{c}" for c in own])

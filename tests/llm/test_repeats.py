@@ -71,16 +71,68 @@ def test_equals_brute_force(spark):
         assert sum(w[1] for w in want) > 1000
 
 
+def groups_of(spark, texts, length=40, gram=8, crowded=256):
+    frame = spark.createDataFrame([(i, 0, bytearray(b)) for i, b in enumerate(texts)], "d long, e long, b binary").repartition(3)
+    groups = {}
+    for r in repeats.repeat_groups(frame, length, gram, crowded).collect():
+        groups.setdefault(r.repeat, set()).add((r.d, r.start, texts[r.d][r.start : r.start + r.n_bytes]))
+    return groups
+
+
+def maximal(texts, length):
+    """Brute force: every string of at least `length` bytes with two or more occurrences that neither all continue alike nor all follow the same byte; with all occurrences."""
+    level = {}
+    for d, b in enumerate(texts):
+        for i in range(len(b) - length + 1):
+            level.setdefault(b[i : i + length], []).append((d, i))
+    level, out, n = {w: o for w, o in level.items() if len(o) > 1}, {}, length
+    while level:
+        longer = {}
+        for w, places in level.items():
+            after = [texts[d][i + n : i + n + 1] for d, i in places]
+            before = [texts[d][i - 1 : i] if i else b"" for d, i in places]
+            if (len(set(after)) > 1 or after[0] == b"") and (len(set(before)) > 1 or before[0] == b""):
+                out[w] = set(places)
+            for c, p in zip(after, places):
+                if c:
+                    longer.setdefault(w + c, []).append(p)
+        level, n = {w: o for w, o in longer.items() if len(o) > 1}, n + 1
+    return out
+
+
 def test_groups_hold_equal_strings_and_all_that_repeats(spark):
     texts = [(t or "").encode() for t in corpus(random.Random(5))]
-    frame = spark.createDataFrame([(i, 0, bytearray(b)) for i, b in enumerate(texts)], "d long, e long, b binary").repartition(3)
-    groups, hit = {}, [np.zeros(len(b), bool) for b in texts]
-    for r in repeats.repeat_groups(frame, 40, 8).collect():
-        assert r.n_bytes >= 40
-        groups.setdefault(r.repeat, []).append((r.d, r.start, texts[r.d][r.start : r.start + r.n_bytes]))
-        hit[r.d][r.start : r.start + r.n_bytes] = True
-    assert all(len({s for *_, s in g}) == 1 and len(g) > 1 for g in groups.values())
-    assert [int(h.sum()) for h in hit] == [w[1] for w in plain([b.decode() for b in texts], 40)]
+    want = plain([b.decode() for b in texts], 40)
+    for crowded in (2, 256):
+        groups, hit = groups_of(spark, texts, crowded=crowded), [np.zeros(len(b), bool) for b in texts]
+        for g in groups.values():
+            assert len({s for *_, s in g}) == 1 and len(g) > 1
+            for d, start, s in g:
+                assert len(s) >= 40
+                hit[d][start : start + len(s)] = True
+        assert [int(h.sum()) for h in hit] == [w[1] for w in want]
+
+
+def test_groups_are_the_maximal_repeats(spark):
+    """Long repeats are whole, also around a part that occurs elsewhere too; every group lists all of its occurrences."""
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n)).encode()
+    inner, outer = text(700), (text(900), text(800))
+    long = outer[0] + inner + outer[1]
+    texts = [text(100) + long + text(50), text(300) + long, text(20) + inner + text(200), text(90) + outer[0][:500] + text(10), long[1000:1500] + text(5) + long[1000:1480], text(3000), b""]
+    texts += [text(30) + texts[5][500:1500] + text(40), texts[5][1200:2500], text(700)] + [text(60)] * 2
+    want = {(w, tuple(sorted(o))) for w, o in maximal(texts, 40).items()}
+    for crowded in (256, 2):
+        got = {(next(iter(g))[2], tuple(sorted((d, i) for d, i, _ in g))) for g in groups_of(spark, texts, crowded=crowded).values()}
+        assert got == want and max(len(w) for w, _ in got) == len(long)
+
+
+def test_a_long_shared_passage_is_one_group(spark):
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n)).encode()
+    passage = text(5000)
+    groups = groups_of(spark, [text(900) + b"1" + passage + b"2" + text(1200), b"x" + passage + text(30), text(2000)], 400, 64)
+    assert [sorted((d, i, len(s)) for d, i, s in g) for g in groups.values()] == [[(0, 901, 5000), (1, 1, 5000)]]
 
 
 def test_long_texts_in_blocks(spark, monkeypatch):
