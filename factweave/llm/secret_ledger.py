@@ -13,10 +13,10 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.llm.common import text_or_empty, work_dir, written
+from factweave.llm.common import carried, text_or_empty, work_dir, written
 
 
 class Rule(NamedTuple):
@@ -40,28 +40,22 @@ SPANS = "array<struct<start:int,end:int>>"
 LEDGER = f"blob_id string, rule string, version int, spans {SPANS}"
 
 
-def spans_of(text: Column, rule: Rule) -> Column:
-    """Where the rule matches: the text is its parts between matches and the matches in turn, so places are running sums of lengths."""
+def steps_of(text: Column, rule: Rule) -> Column:
+    """Of each match in turn: lengths of the text before it since the last one, of the match, and of its group. Null where the rule doesn't match."""
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     held = whole if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
     parts = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(whole))
     steps = F.arrays_zip(parts.alias("gap"), whole.alias("whole"), held.alias("held"))
     steps = F.transform(steps, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["whole"]).alias("whole"), F.length(x["held"]).alias("held")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found"))
-
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["gap"]
-        end = begin + x["whole"]
-        found = F.when(x["held"] >= rule.least, F.concat(state["found"], F.array(F.struct(begin.alias("start"), end.alias("end"))))).otherwise(state["found"])
-        return F.struct(end.alias("at"), found.alias("found"))
-
-    found = F.aggregate(steps, start, step, lambda state: state["found"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(SPANS))
+    return F.when(text.rlike(rule.pattern), steps)
 
 
 def scan(blobs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """New ledger rows: of each distinct content in blobs(blob_id, text), the pairs with a rule version that the ledger lacks."""
+    """New ledger rows: of each distinct content in blobs(blob_id, text), the pairs with a rule version that the ledger lacks.
+
+    Places of matches are running sums over rows of lengths, so time grows with the number of matches, however many one content has.
+    """
     blobs = blobs.groupBy("blob_id").agg(F.first("text").alias("text"))
     known = F.array().cast("array<string>")
     if ledger is not None:
@@ -69,9 +63,13 @@ def scan(blobs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = R
         blobs = blobs.join(done, "blob_id", "left")
         known = F.coalesce(F.col("_done"), known)
         blobs = blobs.where(F.size(F.array_except(F.array(*[F.lit(f"{r.kind}@{r.version}") for r in rules]), known)) > 0)
-    found = [F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), F.when(~F.array_contains(known, f"{r.kind}@{r.version}"), spans_of(F.col("text"), r)).alias("spans")) for r in rules]
-    new = blobs.select("blob_id", F.inline(F.array(*found)))
-    return new.where("spans is not null")
+    fresh = [F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), F.lit(r.least).alias("least"), (~F.array_contains(known, f"{r.kind}@{r.version}")).alias("fresh"), steps_of(F.col("text"), r).alias("steps")) for r in rules]
+    new = blobs.select("blob_id", F.inline(F.array(*fresh))).where("fresh")
+    key = ["blob_id", "rule", "version"]
+    rows = new.select(*key, "least", F.posexplode_outer("steps").alias("pos", "x"))
+    end = F.sum(F.col("x.gap") + F.col("x.whole")).over(Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")
+    span = F.when(F.col("x.held") >= F.col("least"), F.struct((F.col("end") - F.col("x.whole")).alias("start"), F.col("end")))
+    return rows.withColumn("end", end).groupBy(*key).agg(F.array_sort(F.collect_list(span)).cast(SPANS).alias("spans"))
 
 
 def ledger_scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, keep: list[str] | None = None) -> DataFrame:
@@ -80,7 +78,7 @@ def ledger_scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, .
     ledger: the path of a ledger table, appended to; a new one in the shared folder unless given.
     """
     spark = docs.sparkSession
-    keep = ["doc_id"] if keep is None else keep
+    row, columns = carried(keep, "blob_id", "findings")
     known = None
     if ledger is None:
         ledger = work_dir(spark)
@@ -90,7 +88,7 @@ def ledger_scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, .
         except Exception as e:  # a first scan has no table yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-    paths = docs.select(F.struct(*keep).alias("_row"), text_or_empty().alias("text")).withColumn("blob_id", F.sha2("text", 256))
+    paths = docs.select(row, text_or_empty().alias("text")).withColumn("blob_id", F.sha2("text", 256))
     scan(paths.select("blob_id", "text"), known, rules).write.mode("append").parquet(ledger)
     order = F.create_map(*[x for n, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(n))])
     current = F.array(*[F.lit(f"{r.kind}@{r.version}") for r in rules])
@@ -100,7 +98,7 @@ def ledger_scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, .
     # Findings grow with the corpus: never a side to broadcast.
     out = paths.select("_row", "blob_id").join(hits.hint("merge"), "blob_id", "left")
     found = F.coalesce(F.transform("_found", lambda s: F.struct(s["rule"].alias("rule"), s["start"].alias("start"), s["end"].alias("end"))), F.array().cast("array<struct<rule:string,start:int,end:int>>"))
-    return out.select("_row.*", "blob_id", found.alias("findings"))
+    return out.select(*columns, "blob_id", found.alias("findings"))
 
 
 def listed(findings: str) -> Column:
@@ -112,13 +110,13 @@ def count_of(findings: str, kind: str) -> Column:
 
 
 def redacted(text: Column, findings: Column, mark: str = "[secret]") -> Column:
-    """The text with every found stretch replaced, stretches that overlap by one mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with every found stretch replaced, stretches that overlap by one mark. Null findings leave the text as it is."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,size:int>>").alias("kept"))
 
     def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        piece = F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], F.when(fresh, piece).otherwise("")).alias("out"))
+        piece = F.array(F.struct(state["at"].alias("at"), (s["start"] - state["at"]).alias("size")))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], F.concat(state["kept"], piece)).otherwise(state["kept"]).alias("kept"))
 
     done = F.aggregate(findings, start, step)
-    return F.when(F.size(findings) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    pieces = F.transform(done["kept"], lambda p: F.substring(text, p["at"] + 1, p["size"]))
+    return F.when(F.size(findings) > 0, F.array_join(F.concat(pieces, F.array(F.substring(text, done["at"] + 1, F.length(text)))), mark)).otherwise(text)

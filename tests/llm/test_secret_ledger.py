@@ -57,3 +57,22 @@ def test_digest(spark):
     out = s.ledger_scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))
     r = out.select(s.listed("findings").alias("x"), s.count_of("findings", "access").alias("n")).first()
     assert r.x == ",".join(f"{k}:{a}:{b}" for k, a, b in plain(text)) and r.n == 3 and hashlib.sha256(r.x.encode())
+
+
+def test_time_grows_with_the_number_of_findings(spark):
+    """One text of n findings takes no more than twice the time, and a bit, of one with half as many."""
+    import time
+
+    took = {}
+    for n in (2000, 20_000, 40_000):
+        docs = spark.createDataFrame([(1, "token=abcdefghijkl " * n)], "doc_id long, text string")
+        began = time.time()
+        assert s.ledger_scan(docs).select(s.count_of("findings", "assign").alias("n")).first().n == n
+        took[n] = time.time() - began
+    assert took[40_000] < 2 * took[20_000] + 2, took
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefghijkl", "x")], "doc_id long, text string, blob_id string")
+    out = s.ledger_scan(docs, keep=["doc_id", "blob_id"])
+    assert out.columns == ["doc_id", "blob_id_in", "blob_id", "findings"] and out.first().blob_id_in == "x"
