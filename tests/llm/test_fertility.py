@@ -29,12 +29,14 @@ def verdict(text, lang, words, repeats):
     library = tokens.load(MODEL).library
     ids = library.encode(text or "")
     failed = words < 10 or 100 * repeats > 20 * words
-    if len(ids) < fertility.MIN_TOKENS:
-        return failed, not failed
+    if failed:
+        return True, False
     band = fertility.BANDS[lang if lang in fertility.BANDS else fertility.script_of(text)]
     shares = [n / len(ids) for n in Counter(ids).values()]
     entropy = -sum(p * math.log2(p) for p in shares)
-    fits = band.min_chars <= len(text) / len(ids) <= band.max_chars and sum(map(library.is_byte, ids)) / len(ids) <= band.max_byte_share and entropy >= band.min_entropy
+    own = len(ids) ** 2 / (len(ids) ** 2 + fertility.SURE**2)
+    chars, share, entropy = (own * x + (1 - own) * p for x, p in ((len(text) / len(ids), band.chars), (sum(map(library.is_byte, ids)) / len(ids), band.byte_share), (entropy, band.entropy)))
+    fits = band.min_chars <= chars <= band.max_chars and share <= band.max_byte_share and entropy >= band.min_entropy
     return failed, not failed and fits
 
 
@@ -42,6 +44,14 @@ TEXTS = [None, "", "one", "a b c d e f g h i j", "x y z v w " * 3, "a\n\na\n b\n
 TEXTS += [PROSE, PROSE * 2, " ".join(f"{chr(97 + i % 26)}{i * 7919 % 104729}x" for i in range(400)), " ".join(f"sentence number {i * i} tells of thing{i % 37} and place{i % 41}." for i in range(60)), "这是一个很长的句子关于天气和河流 " * 3 + "".join(chr(0x4E00 + i * 37 % 20000) for i in range(500)), "\x01\x02\x03\x04 " * 300, "Привет мир снова " * 10]
 
 
+def test_short_texts_are_judged_too(spark):
+    """A dozen words of fallback bytes are rejected, a dozen plain ones are not."""
+    junk = " ".join(chr(0x1F300 + i) + chr(0x2460 + i) for i in range(12))
+    docs = spark.createDataFrame([(1, junk, "en"), (2, PROSE, "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.n_tokens < 128, r.base_failed, r.kept) for r in fertility.quality(docs, MODEL).collect()}
+    assert got == {1: (True, False, False), 2: (True, False, True)}
+
+
 def test_repeated_words_with_many_different_words():
     words = [str(i % 9000) for i in range(9300)]
     assert fertility.repeated_words(words) == plain(" ".join(words))[-1] == 600
