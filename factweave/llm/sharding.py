@@ -1,7 +1,7 @@
 """Shards by balanced label propagation: copies of a text are linked, and move towards the shards that hold most of their links.
 
 Law "rows": shard sizes differ by one row at most. The first shards are dealt in turn by a gapless number. Then rounds of joins
-follow, each keeping every shard's number of rows as it is:
+follow, as long as a round cuts fewer links than the one before; each keeps every shard's number of rows as it is:
 
 - each class of linked rows prefers the shard that holds most of it, or as many such shards as it fills alone;
 - rows elsewhere ask to move there; the requests of two shards to each other are matched one to one;
@@ -19,10 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.llm.common import text_or_empty, written
+from factweave.llm.common import carried, text_or_empty, written
 
 SHARDS = 40
-ROUNDS = 5
 BUCKET_ROWS = 4096  # rows of a shard that one window sorts, about
 
 
@@ -80,8 +79,8 @@ def quotas(asked: DataFrame, spare: DataFrame) -> DataFrame:
     return pairs.select("here", "there", (F.least("count", "back") + F.col("paid")).alias("admitted"), "paid")
 
 
-def propagate(linked: DataFrame, single: DataFrame, shards: int, room: int, buckets: int) -> tuple[DataFrame, DataFrame, int]:
-    """One round over linked(id, g, h, shard) and single(id, shard): both anew, and how many linked rows moved."""
+def propagate(linked: DataFrame, single: DataFrame, shards: int, room: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """One round over linked(id, g, h, shard) and single(id, shard): both anew."""
     targets = written(preferred(linked, shards, room))
     wish = linked.join(targets, ["g", "h"]).withColumn("there", F.when(F.array_contains("targets", F.col("shard")), F.col("shard")).otherwise(F.element_at("targets", (F.pmod(F.xxhash64("id"), F.size("targets")) + 1).cast("int"))))
     wish = written(wish.select("id", "g", "h", F.col("shard").alias("here"), "there"))
@@ -96,14 +95,21 @@ def propagate(linked: DataFrame, single: DataFrame, shards: int, room: int, buck
     placed = positions(single, ["shard"], buckets).join(written(ways), "shard", "left")
     goes = F.filter("ways", lambda w: F.col("at") < w["upto"])
     rest = written(placed.select("id", F.when(F.size(goes) > 0, F.get(goes, F.lit(0))["here"]).otherwise(F.col("shard")).alias("shard")))
-    return after, rest, quota.agg(F.coalesce(F.sum("admitted"), F.lit(0))).first()[0]
+    return after, rest
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, keep: list[str] | None = None) -> DataFrame:
-    """Columns keep (doc_id alone unless named), size, text_crc32, law, shard, slot and grown_shard of every row."""
-    keep = ["doc_id"] if keep is None else keep
+def cut_of(linked: DataFrame) -> int:
+    """Links between rows of a class that lie in different shards, counted by classes and shards."""
+    held = linked.groupBy("g", "h", "shard").agg(F.count("*").cast("decimal(38,0)").alias("c"))
+    held = held.groupBy("g", "h").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"))
+    return int(held.agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("squares")), F.lit(0))).first()[0]) // 2
+
+
+def assign(docs: DataFrame, shards: int = SHARDS, keep: list[str] | None = None, cuts: list[int] | None = None) -> DataFrame:
+    """Columns keep (doc_id alone unless named), size, text_crc32, law, shard, slot and grown_shard of every row. The cut links before and after each round are appended to cuts."""
+    row, columns = carried(keep, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
     text = text_or_empty()
-    rows = docs.select(F.struct(*keep).alias("_row"), (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("g"), F.xxhash64(F.lit(1), text).alias("h"))
+    rows = docs.select(row, (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("g"), F.xxhash64(F.lit(1), text).alias("h"))
     rows = written(rows.withColumn("id", F.monotonically_increasing_id()))
     total = rows.count()
     buckets = max(8, -(-total // (shards * BUCKET_ROWS)))
@@ -111,13 +117,17 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, keep: li
     classes = written(rows.groupBy("g", "h").agg(F.count("*").alias("rows")).where("rows > 1"))
     dealt = written(dealt.join(classes, ["g", "h"], "left").select("id", "g", "h", "shard", F.col("rows").isNotNull().alias("linked")))
     linked, single = dealt.where("linked").select("id", "g", "h", "shard"), dealt.where("not linked").select("id", "shard")
-    for _ in range(rounds):
-        linked, single, moved = propagate(linked, single, shards, total // shards, buckets)
-        if not moved:
+    cuts = [] if cuts is None else cuts
+    cuts.append(cut_of(linked))
+    while cuts[-1]:
+        after = propagate(linked, single, shards, total // shards, buckets)
+        cuts.append(cut_of(after[0]))
+        if cuts[-1] >= cuts[-2]:
             break
+        linked, single = after
     final = positions(linked.select("id", "shard").unionByName(single), ["shard"], buckets)
     out = rows.join(final, "id")
-    return out.select("_row.*", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("at").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return out.select(*columns, "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("at").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def cut_links(assigned: DataFrame, text: Column) -> DataFrame:

@@ -41,3 +41,16 @@ def test_odd_rows(spark):
     checked(rows, sharding.assign(docs).collect(), 40)
     checked(rows, sharding.assign(docs, 2).collect(), 2)
     assert sharding.assign(docs.limit(0)).count() == 0
+
+
+def test_rounds_go_on_while_they_save_cuts(spark):
+    """Cuts fall round by round to what the law allows: groups that fit are whole but for the rows that a surplus can't pay back."""
+    rows = [(i, f"group {i % 400}" if i < 4000 else f"alone {i}") for i in range(5000)]
+    cuts = []
+    out = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 10, keep=["doc_id", "text"], cuts=cuts)
+    assert cuts[0] > cuts[1] and all(a > b for a, b in zip(cuts[:-2], cuts[1:-1])) and (cuts[-1] == 0 or cuts[-1] >= cuts[-2])
+    shards = defaultdict(Counter)
+    for r in out.collect():
+        shards[r.text][r.shard] += 1
+    plain = sum((sum(c.values()) ** 2 - sum(n * n for n in c.values())) // 2 for c in shards.values())
+    assert plain == min(cuts) == sharding.cut_links(out, F.col("text")).first().cut
