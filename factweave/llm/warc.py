@@ -18,6 +18,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -182,36 +183,56 @@ def write_archives(pages: DataFrame, path: str | None = None, least: int = LEAST
     return path
 
 
-def _records(content: Column) -> Column:
-    names = [x.split()[0] for x in RECORDS.split(", ")]
+def _number(raw: Column, at: int) -> Column:
+    """The 32-bit number, least byte first, that begins at byte `at` (from 1) of a few bytes."""
+    digits = F.hex(F.substring(raw, at, 4))
+    return F.conv(F.concat(*[F.substring(digits, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("int")
 
-    @F.pandas_udf(f"array<struct<{RECORDS.replace(' ', ':').replace(',:', ',')}>>")
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import hashlib
 
-        ident = lambda v: int(x) if v and (x := v.removeprefix("<urn:page:").removesuffix(">")) else None
+def _frames(content: Column) -> Column:
+    """Offset, compressed and plain size of each frame of a bundle, from its footer; only the footer goes to Python."""
+
+    @F.pandas_udf("array<struct<at:int,packed:int,plain:int>>")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            out = []
-            for content in batch:
-                content, rows = bytes(content), []
-                for k in range(len(seek_table(content))):
-                    plain, at = frame_of(content, k), 0
-                    while at < len(plain):
-                        head, block, at = parse(plain, at)
-                        digest, kind, size = head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"], int(head["x-payload-length"])
-                        if kind == "response" and (len(block) != size or hashlib.sha1(block).hexdigest() != digest):
-                            raise ValueError("a payload differs from its digest")
-                        rows.append(dict(zip(names, (ident(head["warc-record-id"]), head.get("warc-target-uri"), size, digest, kind, ident(head.get("warc-refers-to")), block))))
-                out.append(rows)
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([[dict(zip(("at", "packed", "plain"), f)) for f in seek_table(bytes(x))] for x in batch], dtype=object)
+
+    footer = F.substring(content, -9, 9)
+    wide = F.when(F.hex(F.substring(footer, 5, 1)) >= "80", 12).otherwise(8)
+    size = 8 + wide * _number(footer, 1) + 9
+    return read(F.substring(content, -size, size))
+
+
+def _cut(content: Column, frames: Column) -> Column:
+    return F.transform(frames, lambda f: F.struct(f["plain"].alias("plain"), F.substring(content, f["at"] + 1, f["packed"]).alias("packed")))
 
-    return read(content)
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of rows (plain, packed), a frame each: a batch for every frame."""
+    import hashlib
+
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
+    ident = lambda v: int(x) if v and (x := v.removeprefix("<urn:page:").removesuffix(">")) else None
+    names = [x.split()[0] for x in RECORDS.split(", ")]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    for batch in batches:
+        for size, packed in zip(batch.column("plain"), batch.column("packed")):
+            plain, at, rows = unpack.decompress(packed.as_py(), max_output_size=size.as_py()), 0, []
+            while at < len(plain):
+                head, block, at = parse(plain, at)
+                digest, kind, n = head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"], int(head["x-payload-length"])
+                if kind == "response" and (len(block) != n or hashlib.sha1(block).hexdigest() != digest):
+                    raise ValueError("a payload differs from its digest")
+                rows.append((ident(head["warc-record-id"]), head.get("warc-target-uri"), n, digest, kind, ident(head.get("warc-refers-to")), block))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """Every record of the bundles below path; a response's payload is checked against its digest, a revisit's is empty."""
+    """Every record of the bundles below path, frame by frame; a response's payload is checked against its digest, a revisit's is empty."""
     stored = spark.read.schema(STORED).parquet(path).where("kind = 'bundle'")
-    return stored.select(F.inline(_records(F.col("content"))))
+    return stored.select(F.inline(_cut(F.col("content"), _frames(F.col("content"))))).mapInArrow(_parsed, RECORDS)
 
 
 def read_index(spark, path: str) -> DataFrame:
@@ -219,13 +240,25 @@ def read_index(spark, path: str) -> DataFrame:
 
 
 def look_up(spark, path: str, wanted: DataFrame) -> DataFrame:
-    """page_id, headers and payload of the records named in wanted(page_id), each from its one frame."""
+    """page_id, headers and payload of the records named in wanted(page_id), each from its one frame. A bundle is sent once, and of it only the frames asked for go on."""
     places = read_index(spark, path).join(wanted.select("page_id").distinct(), "page_id")
+    asked = places.groupBy("bundle", "frame").agg(F.collect_list(F.struct("page_id", "offset")).alias("records"))
+    asked = asked.groupBy("bundle").agg(F.collect_list(F.struct("frame", "records")).alias("asked"))
     content = spark.read.schema(STORED).parquet(path).where("kind = 'bundle'").select("bundle", "content")
+    held = content.join(asked, "bundle").withColumn("_f", _frames(F.col("content")))
+    cut = F.transform("asked", lambda a: F.struct(F.get("_f", a["frame"])["plain"].alias("plain"), F.substring(F.col("content"), F.get("_f", a["frame"])["at"] + 1, F.get("_f", a["frame"])["packed"]).alias("packed"), a["records"].alias("records")))
 
-    @F.pandas_udf("headers map<string,string>, payload binary")
-    def one(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for contents, frames, offsets in batches:
-            yield pd.DataFrame([record_at(bytes(c), int(f), int(o)) for c, f, o in zip(contents, frames, offsets)], columns=["headers", "payload"])
+    @F.pandas_udf("array<struct<page_id:bigint,headers:map<string,string>,payload:binary>>")
+    def find(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
+        for sizes, frames, records in batches:
+            out = []
+            for size, packed, asked in zip(sizes, frames, records):
+                plain = unpack.decompress(bytes(packed), max_output_size=int(size))
+                found = ((r["page_id"], *parse(plain, int(r["offset"]))[:2]) for r in asked)
+                out.append([{"page_id": k, "headers": head, "payload": block} for k, head, block in found])
+            yield pd.Series(out, dtype=object)
 
-    return places.join(content, "bundle").select("page_id", one("content", "frame", "offset").alias("_r")).select("page_id", "_r.*")
+    return held.select(F.inline(cut)).select(F.inline(find("plain", "packed", "records")))
