@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import passed, text_or_empty
+from factweave.llm.common import carried, text_or_empty
 from factweave.llm.tokens import BLOCK, MARK, MEMO, Memo, segments
 
 PAIRS = 400_000  # compatibility results kept
@@ -208,10 +208,10 @@ def _lists(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def encode_tokens(docs: DataFrame, model: str, keep: list[str] | None = None) -> DataFrame:
     """Columns keep of docs (doc_id alone unless named) with ids, the tokens of each text, and decoded, the text that these ids give.
 
-    A column of keep that is named ids or decoded gives way to the result of that name.
+    A column of keep with the name of a result is called <name>_in.
     """
-    keep = passed(keep, "ids", "decoded")
-    rows = docs.select(F.struct(F.lit(0).alias("_"), *keep).alias("_row"), text_or_empty().alias("_text"))
+    row, out = carried(keep, "ids", "decoded")
+    rows = docs.select(row, text_or_empty().alias("_text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(model)
@@ -222,8 +222,8 @@ def encode_tokens(docs: DataFrame, model: str, keep: list[str] | None = None) ->
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([some.column("_row"), lists, encoder.decode_all(ids, ends)], names=["_row", "ids", "decoded"])
 
-    out = rows.mapInArrow(encode, f"_row {rows.schema['_row'].dataType.simpleString()}, ids array<int>, decoded string")
-    return out.select(*[F.col(f"_row.`{c}`") for c in keep], "ids", "decoded")
+    found = rows.mapInArrow(encode, f"_row {rows.schema['_row'].dataType.simpleString()}, ids array<int>, decoded string")
+    return found.select(*out, "ids", "decoded")
 
 
 def token_ids(text: Column, model: str) -> Column:
@@ -260,5 +260,5 @@ def digests() -> list[Column]:
 
 def encode_documents(docs: DataFrame, model: str, keep: list[str] | None = None) -> DataFrame:
     """Columns keep of docs (doc_id alone unless named) with n_tokens, ids_sha256 and decoded_sha256, from the tokens and the text decoded from them."""
-    keep = passed(keep, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")
-    return encode_tokens(docs, model, keep).select(*[f"`{c}`" for c in keep], *digests())
+    row, out = carried(keep, "n_tokens", "ids_sha256", "decoded_sha256")
+    return encode_tokens(docs.select(row, "text"), model, ["_row"]).select(*out, *digests())

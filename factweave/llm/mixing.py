@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factweave.llm.common import text_or_empty, written
+from factweave.llm.common import carried, text_or_empty, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -68,10 +68,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 def mix(docs: DataFrame, keep: list[str] | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, slices: int = SLICES) -> DataFrame:
     """Columns keep of docs (doc_id alone unless named), size, source_size, target and copies of every row."""
-    keep = ["doc_id"] if keep is None else keep
+    row, columns = carried(keep, "size", "source_size", "target", "copies")
     text = text_or_empty()
     u = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text.cast("binary")))
-    rows = docs.select(F.struct(*keep).alias("_row"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), u.alias("u"))
+    rows = docs.select(row, F.col("source").cast("string").alias("source"), word_count(text).alias("size"), u.alias("u"))
     rows = written(rows.withColumn("digits", F.length(F.bin("size"))))
     classes = written(rows.groupBy("source", "digits").agg(F.sum("size").alias("words")))
     targets = written(source_targets(classes.select("source", F.col("words").alias("size")), weights, share, cap))
@@ -97,4 +97,4 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights: tuple[int, ...]
     other = placed.where("not coalesce(slice = end, false)").withColumn("drawn", F.coalesce((F.col("slice") < F.col("end")).cast("int"), F.lit(0)))
     cols = ["_row", "source", "size", (F.col("whole") + F.col("drawn")).alias("copies")]
     out = other.select(*cols).unionByName(edge.select(*cols))
-    return out.join(targets, out.source.eqNullSafe(targets.source)).select("_row.*", "size", "source_size", "target", F.col("copies").cast("bigint").alias("copies"))
+    return out.join(targets, out.source.eqNullSafe(targets.source)).select(*columns, "size", "source_size", "target", F.col("copies").cast("bigint").alias("copies"))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import text_or_empty, written
+from factweave.llm.common import carried, text_or_empty, written
 from factweave.llm.components import connected_components
 
 RADIUS = 2
@@ -132,8 +132,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, keep: list[str] | N
     A null text has no words, as an empty one; such rows share fingerprint zero. A null doc_id keeps its row; its class is null only if no
     row of it has an id. Repeated rows and ids keep a result each. Columns of other names pass through keep.
     """
-    keep = ["doc_id"] if keep is None else keep
-    rows = written(docs.select(F.struct(*keep).alias("_row"), F.col("doc_id").alias("_id"), fingerprint(text_or_empty(), shingle).alias("f")))
+    row, columns = carried(keep, "fingerprint", "component_id", "class_fingerprint")
+    rows = written(docs.select(row, F.col("doc_id").alias("_id"), fingerprint(text_or_empty(), shingle).alias("f")))
     points = written(rows.groupBy("f").agg(F.min("_id").alias("_id")))
     found = connected_components(near_pairs(points))
     found = written(found)
@@ -142,7 +142,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, keep: list[str] | N
     least = written(rooted.groupBy("_root").agg(F.min("_id").alias("component_id")))
     classes = written(rooted.select("f", "_root").join(least, "_root").select("f", "_root", "component_id"))
     out = rows.join(classes, "f")
-    return out.select("_row.*", _digits("f").alias("fingerprint"), "component_id", _digits("_root").alias("class_fingerprint"))
+    return out.select(*columns, _digits("f").alias("fingerprint"), "component_id", _digits("_root").alias("class_fingerprint"))
 
 
 def _digits(f: str) -> Column:

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factweave.llm.common import carried
+
 WIDTH = 64
 PAGE = 1 << 20
 STRIP_ROWS = 256
@@ -196,9 +198,8 @@ def directories(data: bytes) -> Iterator[dict[int, list]]:
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
 
 
-def pages(data: bytes) -> list[tuple]:
+def pages(data: bytes) -> Iterator[tuple]:
     """(page, width, height, samples, compression, predictor, tiled, pixels) of each directory."""
-    out = []
     for number, tags in enumerate(directories(data)):
         one = lambda tag, default=None, tags=tags: tags.get(tag, [default])[0]
         width, height, samples = one(256), one(257), one(277, 1)
@@ -224,8 +225,7 @@ def pages(data: bytes) -> list[tuple]:
             if predictor == 2:
                 block = np.cumsum(block, axis=1, dtype="u1")
             image[top : top + tall, left : left + wide] = block
-        out.append((number, width, height, samples, compression, predictor, tiled, image[:height, :width].tobytes()))
-    return out
+        yield number, width, height, samples, compression, predictor, tiled, image[:height, :width].tobytes()
 
 
 # --- writer ---------------------------------------------------------------------------------------------------------
@@ -302,7 +302,7 @@ def stored_column(payload: Column) -> Column:
 
 
 def pages_column(content: Column) -> Column:
-    """struct(pages, error) of a column of TIFF files."""
+    """struct(pages, error) of a column of TIFF files: the pages before the damage, if there is any, and what it is. A null file has neither."""
 
     @F.pandas_udf(f"pages {PAGES}, error string")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -310,20 +310,23 @@ def pages_column(content: Column) -> Column:
         for batch in batches:
             rows = []
             for x in batch:
+                found, error = [], None
                 try:
-                    rows.append(([] if x is None else [dict(zip(names, p)) for p in pages(bytes(x))], None))
+                    for p in pages(bytes(x)) if x is not None else ():
+                        found.append(dict(zip(names, p)))
                 except (ValueError, IndexError, KeyError, TypeError, struct.error, zlib.error) as e:
-                    rows.append(([], f"{type(e).__name__}: {e}"))
+                    error = f"{type(e).__name__}: {e}"
+                rows.append((found, error))
             yield pd.DataFrame(rows, columns=["pages", "error"])
 
     return read(content)
 
 
 def read_pages(files: DataFrame, content: str = "content", keep: list[str] | None = None) -> DataFrame:
-    """One row per page: columns keep of files in a struct `file`, then the page's own columns."""
+    """One row per page: columns keep of files in a struct `file`, the page's own columns, and the error of its file. A file without pages has a row of nulls."""
     keep = [c for c in files.columns if c != content] if keep is None else keep
     held = files.select(F.struct(*keep).alias("file") if keep else F.lit(None).alias("file"), pages_column(F.col(content)).alias("_t"))
-    return held.select("file", F.inline("_t.pages"))
+    return held.select("file", F.inline_outer("_t.pages"), F.col("_t.error").alias("error"))
 
 
 def padded(text: Column) -> Column:
@@ -339,11 +342,11 @@ def media_features(docs: DataFrame, text: Column, keep: list[str] | None = None)
 
     feature: pages, then width x height, compression, predictor and tiling of the first, then the number of lit samples and the mean sample in thousandths.
     """
-    keep = ["doc_id"] if keep is None else keep
-    out = docs.select(F.struct(*keep).alias("_row"), text.alias("_text"))
+    row, columns = carried(keep, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    out = docs.select(row, text.alias("_text"))
     out = out.select("_row", F.octet_length("_text").cast("bigint").alias("n_bytes"), stored_column(padded(F.col("_text"))).alias("_media"))
     out = out.select("_row", "n_bytes", "_media", measured(F.col("_media")).alias("_m"))
-    return out.select("_row.*", "n_bytes", "_m.payload_bytes", "_m.payload_sha256", "_m.tail_crc32", F.octet_length("_media").cast("bigint").alias("media_bytes"), F.sha2("_media", 256).alias("media_sha256"), "_m.feature")
+    return out.select(*columns, "n_bytes", "_m.payload_bytes", "_m.payload_sha256", "_m.tail_crc32", F.octet_length("_media").cast("bigint").alias("media_bytes"), F.sha2("_media", 256).alias("media_sha256"), "_m.feature")
 
 
 def measured(content: Column) -> Column:
@@ -355,7 +358,7 @@ def measured(content: Column) -> Column:
         for batch in batches:
             rows = []
             for x in batch:
-                found = pages(bytes(x))
+                found = list(pages(bytes(x)))
                 payload = b"".join(p[-1] for p in found)
                 _, width, height, _, compression, predictor, tiled, _ = found[0]
                 samples = np.frombuffer(payload, "u1")

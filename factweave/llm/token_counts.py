@@ -6,7 +6,7 @@ So two chunk encodings may be joined at a common boundary p if the token before
 each pair of the joined sequence is then a pair of one of the two encodings. Where an overlap has no such boundary, it is doubled,
 at last up to the start of the text. The library encodes each chunk; memory is bounded by the chunk, not by the text.
 
-Rows: null texts count as empty (0 tokens), repeated rows and ids keep one result each, other columns of any name pass through.
+Rows: null texts count as empty (0 tokens), repeated rows and ids keep one result each, other columns pass through `keep`.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.llm import tokens
-from factweave.llm.common import text_or_empty
+from factweave.llm.common import carried, text_or_empty
 
 CHUNK = 16_384  # code points that are encoded at a time
 OVERLAP = 256  # of them again, at first
@@ -86,8 +86,9 @@ def token_count(text: Column, model: str, chunk: int = CHUNK, overlap: int = OVE
     return count(text)
 
 
-def count_tokens(docs: DataFrame, model: str, limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit of each row."""
-    out = docs.select("doc_id", text_or_empty().alias("_text"))
-    out = out.select("doc_id", F.octet_length("_text").cast("bigint").alias("n_bytes"), token_count(F.col("_text"), model, chunk, overlap).alias("n_tokens"))
+def count_tokens(docs: DataFrame, model: str, limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP, keep: list[str] | None = None) -> DataFrame:
+    """Columns keep of docs (doc_id alone unless named), n_bytes, n_tokens and over_limit of each row."""
+    row, columns = carried(keep, "n_bytes", "n_tokens", "over_limit")
+    out = docs.select(row, text_or_empty().alias("_text"))
+    out = out.select(*columns, F.octet_length("_text").cast("bigint").alias("n_bytes"), token_count(F.col("_text"), model, chunk, overlap).alias("n_tokens"))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

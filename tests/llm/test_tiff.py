@@ -44,7 +44,7 @@ def test_layouts_round_trip(compression, tiled, order):
     payload = (b"some text, again and again " * 900)[: 64 * 350]
     for predictor in (1, 2):
         data = tiff.tiff(payload, compression, predictor, tiled, page=64 * 100, order=order)
-        got = tiff.pages(data)
+        got = list(tiff.pages(data))
         assert [p[2] for p in got] == [100, 100, 100, 50] and b"".join(p[-1] for p in got) == payload
         assert {p[4:7] for p in got} == {(compression, predictor, tiled)}
 
@@ -56,7 +56,10 @@ def test_pages_of_a_table(spark):
     rows = [(1, good, 5), (1, good, 5), (None, None, 0), (3, b"", 0), (4, b"II*\0\xff\xff\xff\x7f", 0), (5, bytes(circle), 0), (6, good[:300], 0)]
     files = spark.createDataFrame(rows, "doc_id long, content binary, page int")
     got = tiff.read_pages(files).collect()
-    assert sorted((r.file.doc_id, r.file.page, r.page, r.height, bytes(r.pixels)) for r in got) == sorted((1, 5, p, 20, b"x" * 1280) for p in range(5) for _ in range(2))
+    whole = [(1, 5, p, 20, b"x" * 1280) for p in range(5) for _ in range(2)]
+    assert sorted((r.file.doc_id, r.file.page, r.page, r.height, bytes(r.pixels)) for r in got if r.error is None and r.page is not None) == sorted(whole)
+    assert sorted((r.file.doc_id, r.page) for r in got if r.error) == [(3, None), (4, None), (5, 0), (6, 0)]  # damaged: after no page or one
+    assert [r.error for r in got if r.file.doc_id is None] == [None]
     errors = {r.doc_id: r.e for r in files.select("doc_id", tiff.pages_column(F.col("content")).alias("t")).select("doc_id", F.col("t.error").alias("e")).collect()}
     assert errors[1] is errors[None] is None and all(errors[k] for k in (3, 4, 5, 6))
     assert tiff.read_pages(files.limit(0)).count() == 0
