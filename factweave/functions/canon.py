@@ -40,6 +40,12 @@ def normal_body(body: Column) -> Column:
     return F.regexp_replace(body, r"\A\n+|\n+\z", "")
 
 
+def extract_key(parts: dict[str, Column], files: Column) -> Column:
+    """40 digits that change with any of the parts (engine, provider, arguments ...) or of the files, an array of (path, digest) in any order."""
+    named = F.array_join(F.transform(F.array_sort(files), lambda f: F.concat(f["path"], F.lit("\0"), f["digest"])), "\n")
+    return F.substring(F.sha2(F.concat(canonical(**parts), F.lit("\n"), named), 256), 1, 40)
+
+
 def aggregate_hash(pairs: Column) -> Column:
     """Of a collected array of (id, hash): the one hash, or that of all pairs in order of id."""
     ordered = F.array_sort(pairs)

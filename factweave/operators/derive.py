@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +31,13 @@ def merged_channels(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def name_status(rows: DataFrame, key: list[str], flags: list[str], site: Column, n: int = 20) -> DataFrame:
-    """For each key, whether any row has each flag, and its first n sites in order."""
-    return rows.groupBy(*key).agg(*[F.bool_or(f).alias(f) for f in flags], F.slice(F.array_sort(F.collect_set(site)), 1, n).alias("sites"))
+    """For each key, whether any row has each flag, and its first n sites in order. No more than n sites of a key are gathered."""
+    found = rows.groupBy(*key).agg(*[F.bool_or(f).alias(f) for f in flags])
+    each = rows.select(*key, site.alias("_s")).where("_s is not null").distinct()
+    first = each.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("_s"))).where(F.col("_n") <= n)
+    first = first.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.array_sort(F.collect_list("_s")).alias("sites"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
+    return found.join(first, same, "left").select(*key, *flags, F.coalesce("sites", F.array().cast(first.schema["sites"].dataType)).alias("sites"))
 
 
 def first_named(files: DataFrame, group: list[str], names: list[str]) -> DataFrame:
@@ -41,6 +48,14 @@ def first_named(files: DataFrame, group: list[str], names: list[str]) -> DataFra
     return rows.groupBy(*group).agg(F.min_by("path", "_o").alias("path"))
 
 
+def ignored_named(files: DataFrame, group: list[str], names: list[str]) -> DataFrame:
+    """group, file and reason of every other file of those names: the gaps beside first_named."""
+    base = F.element_at(F.split("path", "/"), -1)
+    order = Window.partitionBy(*group).orderBy(F.size(F.split("path", "/")), F.array_position(F.array(*map(F.lit, names)), base), "path")
+    rows = files.where(base.isin(names)).withColumn("_n", F.row_number().over(order)).where("_n > 1")
+    return rows.select(*group, F.col("path").alias("file"), F.lit("candidate-ignored").alias("reason"))
+
+
 def capped_output(size: Column, factor: int = 6, least: int = 5_000_000, most: int = 256_000_000) -> Column:
     return F.least(F.greatest(size * factor, F.lit(least)), F.lit(most))
 

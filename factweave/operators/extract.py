@@ -5,7 +5,6 @@ Input is lines(path, line, text). Patterns see one line at a time, and names are
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +22,8 @@ ENV_READS = (
     rf"""os\.(?:Getenv|LookupEnv)\(\s*"({NAME})\"""",
     rf"""System\.getenv\(\s*"({NAME})\"""",
     rf"""\benv\(\s*["']({NAME})["']\s*\)""",
+    rf"""String\.fromEnvironment\(\s*["']({NAME})["']""",
+    rf"""Platform\.environment\[\s*["']({NAME})["']""",
 )
 EXAMPLE = r"(^|/)\.?env[^/]*\.(example|sample|template)$|(^|/)\.env\.(example|sample|template)$"
 
@@ -62,6 +63,11 @@ CHANNEL_RULES = (
     ChannelRule("queue", "rabbitmq", "consumer", r"""\.consume\(\s*["'`]([^"'`]+)["'`]"""),
     ChannelRule("channel", "redis", "producer", r"""\.publish\(\s*["'`]([^"'`]+)["'`]"""),
     ChannelRule("channel", "redis", "consumer", r"""\.subscribe\(\s*["'`]([^"'`]+)["'`]"""),
+    ChannelRule("queue", "sqs-sns", "producer", r"""\b(?:SendMessage(?:Batch)?Command|send_message)\([^)]*?QueueUrl\s*[:=]\s*["'`]([^"'`]+)["'`]"""),
+    ChannelRule("queue", "sqs-sns", "consumer", r"""\b(?:(?:Receive|Delete)MessageCommand|receive_message)\([^)]*?QueueUrl\s*[:=]\s*["'`]([^"'`]+)["'`]"""),
+    ChannelRule("topic", "sqs-sns", "producer", r"""(?:\bPublishCommand|\bsns\w*\.publish)\([^)]*?TopicArn\s*[:=]\s*["'`]([^"'`]+)["'`]"""),
+    ChannelRule("topic", "sqs-sns", "consumer", r"""\bSubscribeCommand\([^)]*?TopicArn\s*[:=]\s*["'`]([^"'`]+)["'`]"""),
+    ChannelRule("channel", "supabase-realtime", "both", r"""\b\w*(?:supabase|client|db)\w*\.(?:channel|removeChannel)\(\s*["'`]([^"'`]+)["'`]"""),
 )
 
 
@@ -148,7 +154,3 @@ def churn(log: DataFrame, end: str, days: int = 365) -> DataFrame:
     """path, commits, last and authors of log(sha, author, at, path) in the days up to end; times are ISO dates, compared as dates."""
     recent = log.where(F.to_date("at") > F.date_sub(F.lit(end).cast("date"), days))
     return recent.groupBy("path").agg(F.count_distinct("sha").alias("commits"), F.max("at").alias("last"), F.count_distinct("author").alias("authors"))
-
-
-def all_of(*tables: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, tables)

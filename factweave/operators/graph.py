@@ -1,28 +1,52 @@
-"""Closures over parent and include relations, as recursive queries with a bound on depth."""
+"""Closures over parent and include relations, level by level, and orders of dependent things."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 32
-
-
-def prefixes(roots: DataFrame, mounts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """node, path, depth: every path by which roots(node, path) reach a node over mounts(parent, child, part); a node is not entered twice on a path."""
-    spark = roots.sparkSession
-    roots.select("node", "path").createOrReplaceTempView("_fw_roots")
-    mounts.select("parent", "child", "part").createOrReplaceTempView("_fw_mounts")
-    return spark.sql(
-        f"""
-        with recursive reach(node, path, depth, seen) max recursion level {depth + 2} as (
-            select node, path, 0, array(cast(node as string)) from _fw_roots
-            union all
-            select m.child, concat(r.path, m.part), r.depth + 1, concat(r.seen, array(cast(m.child as string)))
-            from reach r join _fw_mounts m on m.parent = r.node
-            where r.depth < {depth} and not array_contains(r.seen, cast(m.child as string)))
-        select distinct node, path, depth from reach"""
-    )
+from factweave.staging import written
+
+
+def prefixes(roots: DataFrame, mounts: DataFrame, join: Column | None = None, limit: int | None = None) -> DataFrame:
+    """node, path, depth: every path by which roots(node, path) reach a node over mounts(parent, child, part); a node is not entered twice on a path.
+
+    Each level is a join of what the last one reached, written down; it ends when nothing new is reached, however deep or wide. join makes the new path of `path` and
+    `part`, which are put together as they are unless it is given. Deeper than limit, if there is one, is an error.
+    """
+    edges = mounts.select(F.col("parent").alias("_parent"), F.col("child").cast("string").alias("_child"), F.col("child").alias("_node"), "part")
+    name = F.col("node").cast("string")
+    reach = written(roots.select("node", "path", F.lit(0).alias("depth"), F.array(name).alias("_seen")).distinct())
+    levels, path = [reach], F.concat("path", "part") if join is None else join
+    while True:
+        step = reach.join(edges, reach.node == edges._parent).where(~F.array_contains("_seen", F.col("_child")))
+        step = step.select(F.col("_node").alias("node"), path.alias("path"), (F.col("depth") + 1).alias("depth"), F.concat("_seen", F.array("_child")).alias("_seen"))
+        reach = written(step.distinct())
+        if reach.isEmpty():
+            return reduce(DataFrame.unionByName, levels).select("node", "path", "depth").distinct()
+        if limit is not None and len(levels) > limit:
+            raise ValueError(f"a path of more than {limit} steps")
+        levels.append(reach)
+
+
+def sweeps(names: DataFrame, needs: DataFrame) -> DataFrame:
+    """name and sweep of names(name) with needs(name, need): the sweep over all names in alphabetical order in which each comes when everything it needs has come.
+
+    Ordered by (sweep, name) they are in order of dependence. A need that is no name, or a circle, is an error.
+    """
+    unmet = needs.join(names, needs.need == names.name, "left_anti").select("need").first()
+    if unmet:
+        raise ValueError(f"nothing provides {unmet.need}")
+    found = written(names.select("name", F.lit(0).alias("sweep")).distinct())
+    for _ in range(found.count() + 1):
+        after = needs.join(found.withColumnRenamed("name", "need"), "need").select("name", (F.col("sweep") + (F.col("need") > F.col("name")).cast("int")).alias("sweep"))
+        later = written(after.unionByName(found).groupBy("name").agg(F.max("sweep").alias("sweep")))
+        if later.join(found, ["name", "sweep"], "left_anti").isEmpty():
+            return found
+        found = later
+    raise ValueError("needs run in a circle")
 
 
 def fan_in(imports: DataFrame, known: DataFrame) -> DataFrame:

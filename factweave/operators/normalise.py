@@ -32,7 +32,7 @@ def screened(rows: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame
         lacks = lacks | F.col(c).isNull()
     reason = F.when(lacks, "malformed").when(F.col("id").rlike(COMMENT) | F.col("payload").rlike(COMMENT), "holds a comment mark")
     marked = rows.withColumn("_why", reason)
-    return marked.where("_why is null").drop("_why"), marked.where("_why is not null").select("id", F.col("_why").alias("reason"))
+    return marked.where("_why is null").drop("_why"), marked.where("_why is not null").select("id", F.col("_why").alias("reason")).distinct()
 
 
 def scoped(rows: DataFrame, excluded: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -79,10 +79,12 @@ def requirements(needs: DataFrame) -> DataFrame:
     return needs.where("not met").groupBy("requirement").agg(F.array_sort(F.collect_set("provider")).alias("providers"), F.bool_and("live").alias("only_live"))
 
 
-def set_hash(rows: DataFrame, id_: str, version: str) -> DataFrame:
-    """16 digits of the hash of the sorted set of id@version."""
-    every = F.array_join(F.array_sort(F.collect_set(F.concat_ws("@", id_, version))), ",")
-    return rows.agg(F.substring(F.sha2(every, 256), 1, 16).alias("hash"))
+def set_hash(rows: DataFrame, id_: str, version: str, most: int = 100_000) -> DataFrame:
+    """16 digits of the hash of the sorted set of id@version. It is one text of a list of providers; a set of more than `most` is an error."""
+    each = rows.select(F.concat_ws("@", id_, version).alias("_v")).distinct()
+    every = F.array_join(F.array_sort(F.collect_list("_v")), ",")
+    checked = F.when(F.count("*") <= most, F.substring(F.sha2(every, 256), 1, 16)).otherwise(F.raise_error(F.lit(f"more than {most} versions")))
+    return each.limit(most + 1).agg(checked.alias("hash"))
 
 
 def tail(id_: Column) -> Column:
@@ -91,8 +93,10 @@ def tail(id_: Column) -> Column:
 
 
 def tail_candidates(missing: DataFrame, facts_: DataFrame, n: int = 3) -> DataFrame:
-    """missing(id) with up to n facts of the same tail, by id."""
-    pairs = missing.select(F.col("id"), tail(F.col("id")).alias("_t")).join(facts_.select(F.col("id").alias("candidate"), tail(F.col("id")).alias("_t")), "_t").where("id <> candidate")
+    """missing(id) with up to n facts of the same tail, by id. Of each tail only the first n + 1 facts are joined, as one of them may be the missing id itself."""
+    first = Window.partitionBy("_t").orderBy("candidate")
+    named = facts_.select(F.col("id").alias("candidate"), tail(F.col("id")).alias("_t")).distinct().withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= n + 1).drop("_n")
+    pairs = missing.select(F.col("id"), tail(F.col("id")).alias("_t")).join(named, "_t").where("id <> candidate")
     return pairs.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("candidate"))).where(F.col("place") <= n).select("id", "candidate", "place")
 
 
@@ -108,6 +112,8 @@ def migration_key(name: Column) -> Column:
     return F.struct((number == "").alias("other"), F.when(number != "", number.cast("bigint")).alias("number"), name.alias("name"))
 
 
-def newest(rows: DataFrame, order: str, factor: int, live: int) -> DataFrame:
-    """The newest factor * live rows of a cache."""
-    return rows.orderBy(F.desc(order)).limit(factor * live)
+def newest(rows: DataFrame, key: list[str], order: str, live: DataFrame, factor: int = 2) -> DataFrame:
+    """Of each provider's cache rows(key, digest, order) those of live(key, digest), and of them the newest, factor times as many as live digests, one at least."""
+    alive = live.select(*key, "digest").distinct()
+    held = rows.join(alive, [*key, "digest"], "left_semi").join(alive.groupBy(*key).agg(F.count("*").alias("_live")), key)
+    return held.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))).where(F.col("_n") <= F.greatest(F.col("_live") * factor, F.lit(1))).drop("_n", "_live")

@@ -26,11 +26,11 @@ def sarif(findings: DataFrame) -> DataFrame:
     return findings.where(sarif_level(F.col("state")) != "none").select("id", F.to_json(result).alias("result"))
 
 
-def missing_sections(recipe: DataFrame, present: DataFrame, order: str, id_: str) -> DataFrame:
-    """Sections of a recipe that a document lacks, each with the nearest section before it that the document has."""
-    have = present.select(F.col(id_), F.lit(True).alias("_have")).distinct()
-    rows = recipe.join(have, id_, "left")
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+def missing_sections(recipe: DataFrame, present: DataFrame, order: str, id_: str, doc: str) -> DataFrame:
+    """Sections of each document's recipe that it lacks, each with the nearest section before it that the document has."""
+    have = present.select(F.col(doc), F.col(id_), F.lit(True).alias("_have")).distinct()
+    rows = recipe.join(have, [doc, id_], "left")
+    before = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("after_section", F.last(F.when(F.col("_have"), F.col(id_)), ignorenulls=True).over(before))
     return rows.where("_have is null").drop("_have")
 

@@ -10,9 +10,15 @@ from factweave.plans.registry import query, table
 
 URL_PATH = r"^https?://[^/]+/([^?#]*)"
 TOKENS_SQL = "list_distinct(list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda t: t <> ''))"
+UNSOLD = "select l_partkey from lineitem where l_quantity > 45"
 BOTH_SQL = TOKENS_SQL.format("p_name || ' ' || p_type || ' ' || p_brand")
 
 
+def unsold(spark, d, parts):
+    """Parts never sold in large numbers stand for what is missing."""
+    return parts.join(table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
+
+
 @query("""
 with doc as (select s_suppkey from supplier where s_nationkey < 5),
 c as (select l_suppkey as s_suppkey, count(*) as commits from lineitem where l_returnflag = 'R' group by 1),
@@ -88,13 +94,13 @@ def q20b_bind_exact(spark, d):
 
 @query(f"""
 with t as (select p_partkey, p_brand, {BOTH_SQL} as tokens from part),
-p as (select a.p_partkey as id, b.p_partkey as candidate, len(list_intersect(a.tokens, b.tokens)) as shared, len(a.tokens) as x, len(b.tokens) as y from t a join t b using (p_brand) where a.p_partkey % 20 = 0 and a.p_partkey <> b.p_partkey),
+p as (select a.p_partkey as id, b.p_partkey as candidate, len(list_intersect(a.tokens, b.tokens)) as shared, len(a.tokens) as x, len(b.tokens) as y from t a join t b using (p_brand) where a.p_partkey not in ({UNSOLD}) and a.p_partkey <> b.p_partkey),
 s as (select id, candidate, shared / (x + y - shared) as score from p where shared / (x + y - shared) >= 0.5),
 r as (select *, row_number() over (partition by id order by score desc, candidate) as place from s)
 select id, candidate, round(score, 6) as score, place from r where place <= 3""")
 def q21_fuzzy(spark, d):
     words = table(spark, d, "part").select("p_partkey", "p_brand", name_tokens(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("tokens"))
-    missing = words.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id"), "p_brand", "tokens")
+    missing = unsold(spark, d, words).select(F.col("p_partkey").alias("id"), "p_brand", "tokens")
     out = rank.fuzzy(missing, words.select(F.col("p_partkey").alias("candidate"), "p_brand", F.col("tokens").alias("words")), "p_brand")
     return out.select("id", "candidate", F.round("score", 6).alias("score"), "place")
 
@@ -113,13 +119,13 @@ def q22_signature_match(spark, d):
 with c as (select a.p_partkey as id, b.p_partkey as candidate, a.p_size = b.p_size as renamed,
     case when a.p_name = b.p_name then 'exact' when split_part(a.p_name, ' ', 1) = split_part(b.p_name, ' ', 1) then 'near' else 'none' end as signature,
     split_part(a.p_name, ' ', 2) = split_part(b.p_name, ' ', 2) as tail
-    from part a join part b on a.p_brand = b.p_brand and a.p_type = b.p_type and a.p_partkey <> b.p_partkey where a.p_partkey % 50 = 0),
+    from part a join part b on a.p_brand = b.p_brand and a.p_type = b.p_type and a.p_partkey <> b.p_partkey where a.p_partkey not in (select l_partkey from lineitem where l_quantity > 45)),
 s as (select *, case when renamed then 4 else 0 end + case signature when 'exact' then 3 when 'near' then 1 else 0 end + case when tail then 2 else 0 end as score from c),
 r as (select *, count(*) over (partition by id) as n, row_number() over (partition by id order by score desc, candidate) as place from s where score > 0)
 select id, candidate, score, place, n = 1 and renamed and signature = 'exact' as auto from r where place <= 3""")
 def q23_reanchor(spark, d):
     part = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_name")
-    a, b = part.where("p_partkey % 50 = 0").alias("a"), part.alias("b")
+    a, b = unsold(spark, d, part).alias("a"), part.alias("b")
     word = lambda t, n: F.split_part(f"{t}.p_name", F.lit(" "), F.lit(n))
     pairs = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_partkey") != F.col("b.p_partkey")))
     signature = F.when(F.col("a.p_name") == F.col("b.p_name"), "exact").when(word("a", 1) == word("b", 1), "near").otherwise("none")

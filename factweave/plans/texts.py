@@ -9,7 +9,7 @@ from factweave.functions import canon
 from factweave.functions.text import LONG_TOKEN, in_scope, name_tokens, plain_parameters, without_name
 from factweave.operators import derive, drift, normalise, rank, report
 from factweave.plans.decisions import FINDINGS_SQL, findings
-from factweave.plans.joins import URL_PATH
+from factweave.plans.joins import URL_PATH, unsold
 from factweave.plans.registry import query, table
 from factweave.sources.markers import markers
 
@@ -139,11 +139,12 @@ def q39_sarif(spark, d):
 
 @query("""
 with h as (select distinct s_nationkey as n_nationkey from supplier where s_acctbal > 4000),
-r as (select n.n_nationkey, h.n_nationkey is not null as have, last_value(h.n_nationkey ignore nulls) over (order by n.n_nationkey rows between unbounded preceding and 1 preceding) as after_section from nation n left join h using (n_nationkey))
-select n_nationkey, after_section from r where not have""")
+r as (select n_regionkey, n.n_nationkey, h.n_nationkey is not null as have, last_value(h.n_nationkey ignore nulls) over (partition by n_regionkey order by n.n_nationkey rows between unbounded preceding and 1 preceding) as after_section from nation n left join h using (n_nationkey))
+select n_regionkey, n_nationkey, after_section from r where not have""")
 def q40_missing_sections(spark, d):
-    have = table(spark, d, "supplier").where("s_acctbal > 4000").select(F.col("s_nationkey").alias("n_nationkey"))
-    return report.missing_sections(table(spark, d, "nation").select("n_nationkey"), have, "n_nationkey", "n_nationkey")
+    nations = table(spark, d, "nation").select("n_regionkey", "n_nationkey")
+    have = nations.join(table(spark, d, "supplier").where("s_acctbal > 4000").select(F.col("s_nationkey").alias("n_nationkey")), "n_nationkey", "left_semi")
+    return report.missing_sections(nations, have, "n_nationkey", "n_nationkey", "n_regionkey")
 
 
 @query("""
@@ -273,11 +274,11 @@ def q57_first_difference(spark, d):
 
 
 @query("""
-with t as (select p_partkey, split_part(p_name, ' ', 2) as tail from part), p as (select a.p_partkey as id, b.p_partkey as candidate, row_number() over (partition by a.p_partkey order by 'p' || b.p_partkey || '/' || b.tail) as place from t a join t b using (tail) where a.p_partkey % 40 = 0 and a.p_partkey <> b.p_partkey)
+with t as (select p_partkey, split_part(p_name, ' ', 2) as tail from part), p as (select a.p_partkey as id, b.p_partkey as candidate, row_number() over (partition by a.p_partkey order by 'p' || b.p_partkey || '/' || b.tail) as place from t a join t b using (tail) where a.p_partkey not in (select l_partkey from lineitem where l_quantity > 45) and a.p_partkey <> b.p_partkey)
 select id, candidate, place from p where place <= 3""")
 def q58_tail_candidates(spark, d):
     ids = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey"), F.lit("/"), F.split_part("p_name", F.lit(" "), F.lit(2))).alias("id"), "p_partkey")
-    rows = normalise.tail_candidates(ids.where("p_partkey % 40 = 0"), ids)
+    rows = normalise.tail_candidates(unsold(spark, d, ids), ids)
     number = lambda c: F.regexp_extract(c, r"^p(\d+)", 1).cast("bigint")
     return rows.select(number("id").alias("id"), number("candidate").alias("candidate"), "place")
 

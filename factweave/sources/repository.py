@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +11,7 @@ from factweave.functions.text import in_scope
 SKIPPED = (".git", "node_modules", "dist", "build", "vendor", "__pycache__")
 JOURNAL = T.StructType([T.StructField(n, T.StringType()) for n in ("type", "target", "at", "actor", "expires", "content_hash", "of", "to", "marker", "evidence", "action", "_bad")])
 CLAIMS = "id string, capability string, provider string, confidence string, type string, payload string, hash string"
+STRETCH = 100_000  # lines
 SECRET_NAME = r"(?i)(^|/)(\.env(\.[^/]*)?|[^/]*\.(pem|key|p12|pfx|keystore)|id_(rsa|dsa|ed25519)|credentials(\.[^/]*)?)$"
 EXAMPLE_NAME = r"(?i)\.(example|sample|template)$"
 
@@ -38,9 +39,12 @@ def files(spark: SparkSession, root: str, include: list[str] | None = None, excl
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """value and line_no of a text file; numbers follow the file's order (its lines are numbered in a single task)."""
-    rows = spark.read.text(path, wholetext=True)
-    return rows.select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n"))).select(F.col("col").alias("value"), (F.col("pos") + 1).alias("line_no"))
+    """value and line_no of a text file; numbers follow the file's order. Lines are numbered within the blocks in which Spark reads the file, and the blocks' counts added up."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    own = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_block").orderBy("_id")))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    blocks = rows.groupBy("_block").agg(F.count("*").alias("_c")).select("_block", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    return own.join(blocks, "_block").select("value", (F.col("_before") + F.col("_n")).cast("int").alias("line_no"))
 
 
 def journal(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -57,15 +61,29 @@ def claims(spark: SparkSession, path: str) -> DataFrame:
 
 
 def git_log(text: DataFrame) -> DataFrame:
-    """sha, author, at and path from rows (value, line_no) of `git log --name-only --format=@%H|%an|%aI`."""
-    from pyspark.sql import Window
-
+    """sha, author, at and path from rows (value, line_no) of `git log --name-only --format=@%H|%an|%aI`. Headers are carried within stretches of lines, and from one to the next."""
     head = F.when(F.col("value").startswith("@"), F.split(F.substring("value", 2, 10_000), r"\|"))
-    carried = F.last(head, ignorenulls=True).over(Window.orderBy("line_no"))
-    rows = text.withColumn("_h", carried).where(~F.col("value").startswith("@") & (F.col("value") != ""))
+    rows = text.withColumn("_b", F.floor(F.col("line_no") / STRETCH)).withColumn("_own", head)
+    ends = rows.groupBy("_b").agg(F.max_by("_own", F.when(F.col("_own").isNotNull(), F.col("line_no"))).alias("_end"))
+    ends = ends.select("_b", F.last("_end", ignorenulls=True).over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"))  # one row a stretch
+    carried = F.coalesce(F.last("_own", ignorenulls=True).over(Window.partitionBy("_b").orderBy("line_no")), F.col("_earlier"))
+    rows = rows.join(ends, "_b").withColumn("_h", carried).where(~F.col("value").startswith("@") & (F.col("value") != ""))
     return rows.select(F.col("_h")[0].alias("sha"), F.col("_h")[1].alias("author"), F.col("_h")[2].alias("at"), F.col("value").alias("path"))
 
 
+ANSWERS = "qid string, verdict string, subject string, kind string, text string, by string, at string"
+
+
+def answers(spark: SparkSession, path: str) -> DataFrame:
+    """Answers to questions, from JSON lines; lines that are no answer are dropped."""
+    return spark.read.schema(ANSWERS).option("mode", "DROPMALFORMED").json(path).where("qid is not null and verdict is not null")
+
+
+def mined(spark: SparkSession, path: str) -> DataFrame:
+    """Candidates for reasons that rank.mined has written, from JSON lines."""
+    return spark.read.schema("sha string, subject string, file string, score long").option("mode", "DROPMALFORMED").json(path).where("sha is not null and subject is not null")
+
+
 def renames(status: DataFrame) -> DataFrame:
     """old and new path from lines of `git diff --name-status`."""
     return status.select(F.regexp_extract("value", r"^R\d*\t([^\t]+)\t([^\t]+)$", 1).alias("old"), F.regexp_extract("value", r"^R\d*\t([^\t]+)\t([^\t]+)$", 2).alias("new")).where("old <> ''")
