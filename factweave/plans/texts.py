@@ -196,7 +196,12 @@ def q46_new_contents(spark, d):
     return derive.new_contents(files, files.where("doc_id % 3 = 0")).select("doc_id", "digest")
 
 
-@query()
+@query("""
+with recursive o as (select p_brand, p_partkey, length(p_name) as size, p_size as edges, row_number() over (partition by p_brand order by p_partkey) as n from part),
+x(p_brand, n, chunk, chars, links, tables) as (select p_brand, n, 0, size, edges, 1 from o where n = 1
+    union all select o.p_brand, o.n, x.chunk + f.new, case when f.new = 1 then size else chars + size end, case when f.new = 1 then edges else links + edges end, case when f.new = 1 then 1 else tables + 1 end
+    from x join o on o.p_brand = x.p_brand and o.n = x.n + 1, lateral (select (chars + size > 400 or links + edges > 400 or tables + 1 > 25)::int as new) f)
+select p_brand, p_partkey, size::bigint as size, edges::bigint as edges, chunk::int as chunk from o join x using (p_brand, n)""")
 def q47_pack(spark, d):
     rows = table(spark, d, "part").select("p_brand", "p_partkey", F.length("p_name").cast("bigint").alias("size"), F.col("p_size").cast("bigint").alias("edges"))
     return rank.pack(rows, "p_brand", "p_partkey", "size", "edges", most=400)
