@@ -20,6 +20,8 @@ columns pass through `keep`. An empty table gives an empty one.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,13 +68,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return levels(table, ["all"], "most", "weight", total).select("source", "source_size", F.col("share").alias("target"))
 
 
-def mix(docs: DataFrame, keep: list[str] | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, slices: int = SLICES) -> DataFrame:
-    """Columns keep of docs (doc_id alone unless named), size, source_size, target and copies of every row."""
+def mix(docs: DataFrame, keep: list[str] | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, slices: int | None = None) -> DataFrame:
+    """Columns keep of docs (doc_id alone unless named), size, source_size, target and copies of every row.
+
+    Ranks are cut in as many slices as the square root of the number of rows, SLICES at least; so neither the table of slices of a source nor the slice in which its
+    sample ends has many more rows than that.
+    """
     row, columns = carried(keep, "size", "source_size", "target", "copies")
     text = text_or_empty()
     u = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text.cast("binary")))
     rows = docs.select(row, F.col("source").cast("string").alias("source"), word_count(text).alias("size"), u.alias("u"))
     rows = written(rows.withColumn("digits", F.length(F.bin("size"))))
+    slices = slices or max(SLICES, math.isqrt(rows.count()))
     classes = written(rows.groupBy("source", "digits").agg(F.sum("size").alias("words")))
     targets = written(source_targets(classes.select("source", F.col("words").alias("size")), weights, share, cap))
     plan = classes.join(targets, classes.source.eqNullSafe(targets.source)).select(targets.source, "digits", "words", "source_size", "target")

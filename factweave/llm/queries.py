@@ -60,8 +60,19 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op8 that need no vocabulary, which SQL can express."""
+    out = fertility.quality(documents(spark, sf_dir), tokens.public_vocabulary())
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def stored_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1 reads back from its files, which SQL can express."""
+    return tiff.media_features(documents(spark, sf_dir), text_or_empty()).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    numbered = (
+    every = (
         op1_tiff_pages,
         op2_pareto_mix,
         op3_simhash_segments,
@@ -72,8 +83,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_tokenizer_fertility,
         op9_overlap_counts,
         op10_warc_bundles,
+        base_rules,
+        stored_payloads,
     )
-    return {f.__name__: f for f in numbered}
+    return {f.__name__: f for f in every}
 
 
 def _kind(kind: str, number: int, pattern: str, group: int, least: int) -> str:
@@ -101,7 +114,40 @@ def _levels(table: str, group: str, total: str) -> str:
         from (select *, most / weight <= level as filled from (select *, ({total} - coalesce(sum(most) over ({by} rows between unbounded preceding and 1 preceding), 0)::bigint) / (sum(weight) over ({by} rows between current row and unbounded following))::bigint as level from {table})))"""
 
 
+# Hexadecimal pairs of whole UTF-8 characters, and of the beginning of one that is cut off.
+_TAIL = "[89AB][0-9A-F]"
+_WHOLE = f"[0-7][0-9A-F]|(?:C[2-9A-F]|D[0-9A-F]){_TAIL}|E0[AB][0-9A-F]{_TAIL}|E[1-9A-CEF](?:{_TAIL}){{2}}|ED[89][0-9A-F]{_TAIL}|F0[9AB][0-9A-F](?:{_TAIL}){{2}}|F[1-3](?:{_TAIL}){{3}}|F48[0-9A-F](?:{_TAIL}){{2}}"
+_CUT = f"E0[AB][0-9A-F]|E[1-9A-CEF]{_TAIL}|ED[89][0-9A-F]|F0[9AB][0-9A-F](?:{_TAIL})?|F[1-3]{_TAIL}(?:{_TAIL})?|F48[0-9A-F](?:{_TAIL})?|[0-9A-F]{{2}}"
+
 ORACLE_SQL = {
+    "op5_repeat_tree": f"""
+with d as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as b from documents),
+n as (select r, doc_id, b, octet_length(b) as n from d),
+p as (select r, unnest(generate_series(1, n - 399)) as i from n where n >= 400),
+h as (select p.r, p.i, md5_number(b[p.i:p.i+399]) as m from p join n using (r)),
+s as (select r, i from (select r, i, count(*) over (partition by m) as c from h) where c > 1),
+g as (select r, i, case when i <= lag(i) over (partition by r order by i) + 400 then 0 else 1 end as first from s),
+u as (select r, i, sum(first) over (partition by r order by i) as run from g),
+v as (select r, run, min(i) as a, max(i) + 400 as z from u group by all),
+w as (select r, a, z, coalesce(lag(z) over (partition by r order by a), 1) as before, row_number() over (partition by r order by a desc) as last from v),
+k as (select w.r, string_agg(hex(b[before:a-1]) || case when last = 1 then hex(b[z:n]) else '' end, '' order by a) as kept, sum(z - a)::bigint as removed, count(*) as spans from w join n using (r) group by 1),
+x as (select doc_id, n, removed, spans, case when kept is null then b else unhex(kept) end as rest from n left join k using (r))
+select doc_id, n as n_bytes, coalesce(removed, 0) as n_removed, coalesce(spans, 0) as n_spans, sha256(rest) as kept_sha256,
+    coalesce(try(decode(rest)), decode(unhex(array_to_string(list_transform(regexp_extract_all(hex(rest), '{_WHOLE}|{_CUT}'), lambda c: case when regexp_full_match(c, '{_WHOLE}') then c else 'EFBFBD' end), '')))) as text from x""",
+    "base_rules": """
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+w as (select r, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as w from d),
+i as (select r, w, unnest(generate_series(1, len(w) - 4)) as i from w where len(w) >= 5),
+c as (select r, i from (select r, i, count(*) over (partition by r, array_to_string(w[i:i+4], ' ')) as c from i) where c > 1),
+m as (select r, count(distinct j) as n_repeat from (select r, unnest(generate_series(i, i + 4)) as j from c) group by 1),
+l as (select r, unnest(string_split(t, chr(10))) as line from d),
+u as (select r, count(*) - count(distinct line) as dup from l where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+    coalesce(dup, 0)::bigint as n_dup_lines, coalesce(n_repeat, 0)::bigint as n_repeat_words, len(w) < 10 or 100 * coalesce(n_repeat, 0) > 20 * len(w) as base_failed
+from d join w using (r) left join m using (r) left join u using (r)""",
+    "stored_payloads": """
+with d as (select doc_id, coalesce(text, '') as t, greatest(64, (strlen(coalesce(text, '')) + 63) // 64 * 64) as p from documents)
+select doc_id, strlen(t) as n_bytes, p as payload_bytes, sha256(encode(t) || unhex(repeat('00', (p - strlen(t))::int))) as payload_sha256 from d""",
     "op2_pareto_mix": f"""
 with d as (select row_number() over () as r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size,
     md5('mix-1:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as h from documents),
