@@ -63,3 +63,21 @@ def test_pipeline_ends_in_tokens(spark):
     docs = spark.createDataFrame([(1, "ab c", "en", "s", 4)], "doc_id long, text string, lang string, source string, n_chars long")
     row = corpus_pipeline.STAGES[-1][1](spark, docs, "").first()
     assert row.ids == tokens.load(MODEL).library.encode("ab c") and row.decoded == "ab c" and row.n_tokens == len(row.ids)
+
+
+def test_a_long_text_without_spaces():
+    encoder, library = merge_encoding.load(MODEL), tokens.load(MODEL).library
+    text = "".join(drawn(3000, 8)).replace(" ", "")[:60_000]
+    assert len(text) > 20_000 and encoder.encode(text) == library.encode(text)
+
+
+def test_null_ids(spark):
+    ids = spark.createDataFrame([(None,), ([],)], "ids array<int>")
+    assert [r.t for r in ids.select(merge_encoding.decoded(F.col("ids"), MODEL).alias("t")).collect()] == [None, ""]
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "ab c", "x", "y")], "doc_id long, text string, ids string, n_tokens string")
+    assert merge_encoding.encode_tokens(docs, MODEL, ["doc_id", "ids"]).columns == ["doc_id", "ids_in", "ids", "decoded"]
+    row = merge_encoding.encode_documents(docs, MODEL, ["doc_id", "n_tokens", "ids"]).first()
+    assert (row.n_tokens_in, row.ids, row.n_tokens) == ("y", "x", len(tokens.load(MODEL).library.encode("ab c")))

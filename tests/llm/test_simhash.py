@@ -65,3 +65,36 @@ def test_rows(spark):
     want = [(r[0], r[2], f"{p:016x}", groups[x]) for r, p, x in zip(rows, prints, least)]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_a_very_long_text(monkeypatch):
+    """Bits are counted in portions; a long text has the fingerprint of plain counting."""
+    rng = random.Random(11)
+    text = " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) + str(rng.randrange(500)) for _ in range(20_000))
+    monkeypatch.setattr(simhash, "ROWS", 1000)
+    assert simhash.fingerprint_of(text) == signed(plain(text))
+
+
+def test_finer_grids():
+    """All pairs within the radius share a cell of every grid; grids grow finer with the number of points."""
+    rng = random.Random(12)
+    embedded = lambda f: sum(((f >> 2 * k & 1) + (f >> 2 * k + 1 & 1) and (1 if (f >> 2 * k & 3) != 3 else 3)) << 2 * k for k in range(32))
+    for radius in (2, 3):
+        assert simhash.grids(radius, 100)[0] == radius + 2 and simhash.grids(radius, 10**10)[0] > radius + 2 and simhash.grids(radius, 10**30)
+        for blocks in simhash.grids(radius, 100):
+            masks = [m & (1 << 64) - 1 for m in simhash.grid(blocks, radius)]
+            for _ in range(200):
+                f = rng.getrandbits(64)
+                g = f
+                for b in rng.sample(range(64), radius):
+                    g ^= 1 << b
+                a, b = embedded(f), embedded(g)
+                assert bin(a ^ b).count("1") <= radius and any(a & m == b & m for m in masks)
+
+
+def test_other_radii(spark):
+    rng = random.Random(13)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    prints = sorted({signed(x ^ sum(1 << b for b in rng.sample(range(64), n))) for x in base for n in (0, 1, 3, 4)})
+    got = {tuple(r) for r in simhash.near_pairs(spark.createDataFrame([(p,) for p in prints], "f long"), radius=3).collect()}
+    assert got == {(a, b) for a in prints for b in prints if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 3}
