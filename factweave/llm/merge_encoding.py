@@ -23,15 +23,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.llm.common import carried, text_or_empty
-from factweave.llm.tokens import BLOCK, MARK, MEMO, Memo, segments
+from factweave.llm.tokens import BLOCK, MARK, Memo, segments
 
-PAIRS = 400_000  # compatibility results kept
+PAIRS = 200_000  # compatibility results kept
+WORDS = 120_000  # segments kept in each of two generations
 
 
 class MergeEncoder:
     """Encoding of segments (texts between space marks), from the pieces and scores of a sentencepiece model."""
 
-    def __init__(self, path: str, limit: int = MEMO):
+    def __init__(self, path: str, limit: int = WORDS):
         import ahocorasick
         import sentencepiece
 
