@@ -31,6 +31,16 @@ def test_without_llm(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
 
 
+def test_a_missing_library_is_no_missing_subpackage(tmp_path):
+    shutil.copytree(ROOT / "factweave", tmp_path / "factweave", ignore=shutil.ignore_patterns("__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (ROOT / name).exists():
+            shutil.copy(ROOT / name, tmp_path)
+    code = "import sys; sys.modules['pyarrow'] = None; import __spark_entry__"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
+    assert (done.returncode != 0) == (ROOT / "corpus_pipeline.py").exists(), done.stderr
+
+
 def test_nothing_else_imports_llm():
     for p in (ROOT / "factweave").rglob("*.py"):
         if "llm" not in p.parts:
