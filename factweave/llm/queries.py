@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm import fertility, merge_encoding, mixing, repeats, secret_ledger, sharding, simhash, tiff, token_counts, tokens, warc
+from factweave.llm import fertility, fill_middle, lloyd, merge_encoding, mixing, repeats, secret_ledger, sharding, simhash, tiff, token_counts, tokens, url_filter, warc
 from factweave.llm.common import text_or_empty
 
 
@@ -60,6 +60,20 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_url_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filter.rule_table(spark))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_middle(documents(spark, sf_dir))
+    digest = F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), digest.alias("restored_sha256"))
+
+
+def op13_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.described(*lloyd.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of op8 that need no vocabulary, which SQL can express."""
     out = fertility.quality(documents(spark, sf_dir), tokens.public_vocabulary())
@@ -83,6 +97,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_tokenizer_fertility,
         op9_overlap_counts,
         op10_warc_bundles,
+        op11_url_model,
+        op12_fill_middle,
+        op13_dual_tree_lloyd,
         base_rules,
         stored_payloads,
     )
@@ -119,7 +136,64 @@ _TAIL = "[89AB][0-9A-F]"
 _WHOLE = f"[0-7][0-9A-F]|(?:C[2-9A-F]|D[0-9A-F]){_TAIL}|E0[AB][0-9A-F]{_TAIL}|E[1-9A-CEF](?:{_TAIL}){{2}}|ED[89][0-9A-F]{_TAIL}|F0[9AB][0-9A-F](?:{_TAIL}){{2}}|F[1-3](?:{_TAIL}){{3}}|F48[0-9A-F](?:{_TAIL}){{2}}"
 _CUT = f"E0[AB][0-9A-F]|E[1-9A-CEF]{_TAIL}|ED[89][0-9A-F]|F0[9AB][0-9A-F](?:{_TAIL})?|F[1-3]{_TAIL}(?:{_TAIL})?|F48[0-9A-F](?:{_TAIL})?|[0-9A-F]{{2}}"
 
+_URL_NAMES = ("allow", "allow0", "allow1", "block", "block0", "block1")
+
+
+def _url_steps() -> str:
+    """Chances of the last character of each window w, by ever longer contexts."""
+    levels = ["s0 as (select w, " + ", ".join(f"(1 / 256)::double as p_{n}" for n in _URL_NAMES) + " from seen)"]
+    for k in range(1, 6):
+        mixed = ", ".join(f"case when n_{n} > 0 then (coalesce({n}, 0) + t_{n} * p_{n}) / (n_{n} + t_{n}) else p_{n} end as p_{n}" for n in _URL_NAMES)
+        levels.append(f"s{k} as (select w, {mixed} from s{k - 1} left join contexts on c = substr(w, {6 - k}, {k - 1}) left join grams on g = substr(w, {6 - k}, {k}))")
+    return ",\n".join(levels)
+
+
+def _lloyd_rounds() -> str:
+    """Vectors a1, ... with the number of the nearest of the centroids c0, ..., and the centroids that follow."""
+    out = []
+    for r in range(4):
+        out.append(f"a{r} as (select v.r, arg_min(num, struct_pack(d := list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))), n := num)) as num from v cross join c{r} c group by 1)")
+        out.append(f"m{r} as (select num, i, (s - ((s % n) + n) % n) // n as x from (select num, i, sum(x[i])::bigint as s, count(*) as n from a{r} join v using (r), (select unnest(range(1, 65)) as i) group by all))")
+        out.append(f"c{r + 1} as (select c.num, coalesce(y, x) as x from c{r} c left join (select num, list(x order by i) as y from m{r} group by 1) using (num))")
+    return ",\n".join(out[:-2])
+
+
 ORACLE_SQL = {
+    "op11_url_model": f"""
+with u as (select coalesce(url, '') as url, count(*) as n from pages group by 1),
+t as (select *, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from u),
+h as (select url, n, translate(regexp_extract(rest, '^[^/?#]*'), '{url_filter.CAPITALS}', '{url_filter.SMALL}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from t),
+rules(action, rule, rh, rp) as (values {", ".join(f"('{a}', '{r}', '{r[:r.index('/')]}', '{r[r.index('/'):]}')" for a, r in url_filter.RULES)}),
+met as (select url, arg_min(struct_pack(rule, action), struct_pack(n := -length(rule), rule)) as b from h join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by 1),
+k as (select url, n, host, path, b.rule as rule, b.action as action, ('0x' || substr(md5(host), 1, 1))::int % 2 as half, repeat(chr(2), 4) || url || chr(3) as padded from h left join met using (url)),
+e as (select url, n, action, half, substr(padded, i, 5) as w from (select *, unnest(generate_series(1, length(url) + 1)) as i from k)),
+seen as (select w, {", ".join(f"coalesce(sum(n) filter (action = '{a}' and half = {f}), 0)::bigint as {a}{f}" for a in url_filter.SIDES for f in (0, 1))} from e group by 1),
+grams as (select *, allow0 + allow1 as allow, block0 + block1 as block from (select g, {", ".join(f"sum({a}{f})::bigint as {a}{f}" for a in url_filter.SIDES for f in (0, 1))}
+    from (select unnest(list_transform(range(1, 6), lambda k: substr(w, 6 - k, k))) as g, allow0, allow1, block0, block1 from seen where allow0 + allow1 + block0 + block1 > 0) group by 1)),
+contexts as (select substr(g, 1, length(g) - 1) as c, {", ".join(f"sum({n})::bigint as n_{n}, count(*) filter ({n} > 0) as t_{n}" for n in _URL_NAMES)} from grams group by 1),
+{_url_steps()},
+scored as (select w, {", ".join(f"round((ln(p_allow{f}) - ln(p_block{f})) * 1048576)::bigint as d{f}" for f in ("", 0, 1))} from s5),
+sums as (select url, floor(sum(d)::bigint * 256 / (count(*) * 1048576))::bigint as score, floor(sum(case when half = 0 then d1 else d0 end)::bigint * 256 / (count(*) * 1048576))::bigint as held from e join scored using (w) group by 1),
+steps as (select held, coalesce(sum(n) filter (action = 'allow'), 0)::bigint as a, coalesce(sum(n) filter (action = 'block'), 0)::bigint as b from sums join k using (url) where action is not null group by 1),
+cut as (select held, (sum(a) over (order by held rows between current row and unbounded following))::bigint / nullif((sum(a) over ())::bigint, 0)
+    + coalesce(sum(b) over (order by held rows between unbounded preceding and 1 preceding), 0)::bigint / nullif((sum(b) over ())::bigint, 0) as gain from steps),
+least as (select coalesce(arg_min(held, struct_pack(g := -gain, held)), 0) as least from cut where gain is not null)
+select page_id, host, path, rule, score, coalesce(action, case when score >= least then 'allow' else 'block' end) as verdict from pages join k on k.url = coalesce(pages.url, '') join sums on sums.url = k.url cross join least""",
+    "op12_fill_middle": """
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as k, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+n as (select *, len(k) as n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::bigint) as r from d),
+c as (select *, least(r[1] % (n + 1), r[2] % (n + 1)) as x, greatest(r[1] % (n + 1), r[2] % (n + 1)) as y,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or r[3] % 100 >= 90 then 'plain' when r[4] % 100 < 20 then 'spm' else 'psm' end as form from n),
+p as (select *, coalesce(array_to_string(k[1:x], ''), '') as p, coalesce(array_to_string(k[x + 1:y], ''), '') as m, coalesce(array_to_string(k[y + 1:n], ''), '') as s from c)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+    sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(t) as restored_sha256 from p""",
+    "op13_dual_tree_lloyd": f"""
+with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda e: floor(64 * e::double)::bigint) as x from embeddings
+    where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is not null and isfinite(e))) = 64),
+c0 as (select num, x from (select row_number() over (order by sha256('1:' || coalesce(vec_id::varchar, '')), x) - 1 as num, x from v) where num < 16),
+{_lloyd_rounds()},
+d as (select vec_id, num, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::bigint as distance, array_to_string(c.x, ',') as name from a3 join v using (r) join c3 c using (num))
+select vec_id, num::int as cluster, distance, (sum(distance) over (partition by num))::bigint as cluster_inertia, (sum(distance) over ())::bigint as inertia, sha256(name) as centroid_sha256 from d""",
     "op5_repeat_tree": f"""
 with d as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as b from documents),
 n as (select r, doc_id, b, octet_length(b) as n from d),
