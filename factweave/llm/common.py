@@ -15,8 +15,15 @@ def text_or_empty(column: str = "text") -> Column:
 def carried(keep: list[str] | None, *own: str) -> tuple[Column, list[Column]]:
     """The columns that go through an operator (doc_id unless named): as a struct _row, and as the columns to select from it at the end.
 
-    One with the name of a result is called <name>_in.
+    One with the name of a result is called <name>_in, or <name>_in_in if that is taken too, and so on.
     """
-    names = {c: f"{c}_in" if c.lower() in own else c for c in (["doc_id"] if keep is None else keep)}
+    keep = ["doc_id"] if keep is None else keep
+    taken, names = {*own, *(c.lower() for c in keep)}, {}
+    for c in keep:
+        names[c] = c
+        if c.lower() in own:
+            while names[c].lower() in taken:
+                names[c] += "_in"
+            taken.add(names[c].lower())
     row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()]).alias("_row")
     return row, [F.col(f"_row.`{n}`") for n in names.values()]
