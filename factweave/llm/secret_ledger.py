@@ -72,13 +72,15 @@ def scan(blobs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = R
     return rows.withColumn("end", end).groupBy(*key).agg(F.array_sort(F.collect_list(span)).cast(SPANS).alias("spans"))
 
 
-def ledger_scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, keep: list[str] | None = None) -> DataFrame:
+def ledger_scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, keep: list[str] | None = None, with_stretches: bool = False) -> DataFrame:
     """Columns keep (doc_id alone unless named), blob_id and findings (rule, start, end: by start, then in the order of rules) of every row.
 
+    with_stretches adds stretches (start, end): what the findings cover, in order, findings that overlap as one.
     ledger: the path of a ledger table, appended to; a new one in the shared folder unless given.
     """
     spark = docs.sparkSession
-    row, columns = carried(keep, "blob_id", "findings")
+    more = ["stretches"] if with_stretches else []
+    row, columns = carried(keep, "blob_id", "findings", *more)
     known = None
     if ledger is None:
         ledger = work_dir(spark)
@@ -94,11 +96,28 @@ def ledger_scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, .
     current = F.array(*[F.lit(f"{r.kind}@{r.version}") for r in rules])
     hits = spark.read.schema(LEDGER).parquet(ledger).where(F.array_contains(current, F.concat_ws("@", "rule", "version")) & (F.size("spans") > 0))
     hits = hits.select("blob_id", F.explode(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[F.col("rule")].alias("_n"), F.col("rule").alias("rule"), s["end"].alias("end")))).alias("_s"))
-    hits = written(hits.groupBy("blob_id").agg(F.array_sort(F.collect_set("_s")).alias("_found")))
+    found = hits.groupBy("blob_id").agg(F.array_sort(F.collect_set("_s")).alias("_found"))
+    if with_stretches:
+        found = found.join(stretches(hits.select("blob_id", "_s.start", "_s.end")), "blob_id")
+    found = written(found)
     # Findings grow with the corpus: never a side to broadcast.
-    out = paths.select("_row", "blob_id").join(hits.hint("merge"), "blob_id", "left")
-    found = F.coalesce(F.transform("_found", lambda s: F.struct(s["rule"].alias("rule"), s["start"].alias("start"), s["end"].alias("end"))), F.array().cast("array<struct<rule:string,start:int,end:int>>"))
-    return out.select(*columns, "blob_id", found.alias("findings"))
+    out = paths.select("_row", "blob_id").join(found.hint("merge"), "blob_id", "left")
+    none = F.array().cast("array<struct<rule:string,start:int,end:int>>")
+    listed_ = F.coalesce(F.transform("_found", lambda s: F.struct(s["rule"].alias("rule"), s["start"].alias("start"), s["end"].alias("end"))), none)
+    return out.select(*columns, "blob_id", listed_.alias("findings"), *[F.coalesce(c, F.array().cast(SPANS)).alias(c) for c in more])
+
+
+def stretches(spans: DataFrame) -> DataFrame:
+    """blob_id and stretches of spans(blob_id, start, end): where any of them is, in order. Spans that only touch stay apart.
+
+    A stretch begins where no earlier span reaches beyond; that is a running maximum over rows.
+    """
+    order = Window.partitionBy("blob_id").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = spans.withColumn("_new", F.coalesce((F.col("start") >= reach).cast("int"), F.lit(1)))
+    rows = rows.withColumn("_n", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    whole = rows.groupBy("blob_id", "_n").agg(F.struct(F.min("start").alias("start"), F.max("end").alias("end")).alias("_s"))
+    return whole.groupBy("blob_id").agg(F.array_sort(F.collect_list("_s")).cast(SPANS).alias("stretches"))
 
 
 def listed(findings: str) -> Column:
@@ -109,14 +128,15 @@ def count_of(findings: str, kind: str) -> Column:
     return F.size(F.filter(findings, lambda s: s["rule"] == kind)).cast("bigint")
 
 
-def redacted(text: Column, findings: Column, mark: str = "[secret]") -> Column:
-    """The text with every found stretch replaced, stretches that overlap by one mark. Null findings leave the text as it is."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,size:int>>").alias("kept"))
-
-    def step(state: Column, s: Column) -> Column:
-        piece = F.array(F.struct(state["at"].alias("at"), (s["start"] - state["at"]).alias("size")))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], F.concat(state["kept"], piece)).otherwise(state["kept"]).alias("kept"))
+def redacted(text: Column, stretches: Column, mark: str = "[secret]") -> Column:
+    """The text with each of its stretches (start, end; in order, none overlapping) replaced by a mark. Null or no stretches leave the text as it is.
 
-    done = F.aggregate(findings, start, step)
-    pieces = F.transform(done["kept"], lambda p: F.substring(text, p["at"] + 1, p["size"]))
-    return F.when(F.size(findings) > 0, F.array_join(F.concat(pieces, F.array(F.substring(text, done["at"] + 1, F.length(text)))), mark)).otherwise(text)
+    Pieces are cut from four bytes a character, so that a place is found without counting from the start; that form is made once, as the item of a list.
+    """
+    n = F.size(stretches)
+    piece = lambda wide, a, z: F.decode(F.substring(wide, 4 * a + 1, 4 * (z - a)), "UTF-32")
+    ends = F.concat(F.array(F.lit(0)), F.transform(stretches, lambda s: s["end"]))
+    starts = F.concat(F.transform(stretches, lambda s: s["start"]), F.array(F.length(text)))
+    places = F.arrays_zip(ends.alias("a"), starts.alias("z"))
+    once = F.transform(F.array(F.encode(text, "UTF-32")), lambda wide: F.array_join(F.transform(places, lambda x: piece(wide, x["a"], x["z"])), mark))
+    return F.when(n > 0, once[0]).otherwise(text)
