@@ -1,9 +1,10 @@
 """Quality rules: how a public vocabulary takes to a text, beside plain counts of words, lines and repeats.
 
 Measured for each whole text: characters per token, the share of tokens that are fallback bytes, and the entropy of its tokens
-in bits. Each has a band by language; a text of another or no language takes the band of the script of most of its letters.
-The fewer tokens a text has, the more its figures are chance; so they are drawn towards what is typical of the band, with the weight
-SURE^2 / (n^2 + SURE^2) of n tokens. No text is exempt: one of fallback bytes alone is rejected from some 40 tokens on in all four languages.
+in bits. Each has a band by language; a text of another or no language takes the band of the script of most of its letters, if there is one.
+The fewer tokens a text has, the more its figures are chance, so a band is as wide as WIDTH standard errors of n tokens, and a text of n tokens is expected to have the
+entropy of n draws, -log2(1 / n + 1 / kinds). No text is exempt for being short: with the 25 tokens of ten words one fails with less than 1.5 characters a token, with more than
+four bytes, or with an entropy below 3.3 bits. Scripts other than Latin have no labelled texts to take a band from, so the method keeps their texts.
 
 Rows: a null text has no words and fails the base rule; an empty one too. A null language is unknown. Repeated rows and ids keep
 one result each; other columns of any name pass through.
@@ -22,7 +23,6 @@ from pyspark.sql import functions as F
 from factweave.llm import tokens
 from factweave.llm.common import carried, text_or_empty
 
-SURE = 64  # tokens at which a text's own figures and the typical ones weigh the same
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\v\f\r"
@@ -30,30 +30,25 @@ WHOLE = 2**63
 
 
 class Band(NamedTuple):
-    """Limits within which a text is kept, and what is typical."""
+    """What is typical: characters per token, share of bytes, and how many kinds of tokens there seem to be."""
 
-    min_chars: float
-    max_chars: float
-    max_byte_share: float
-    min_entropy: float
     chars: float
     byte_share: float
-    entropy: float
+    kinds: float
 
 
-# Production limits. The lower ones of the four languages lie below all but about one in 1000 longer texts labelled good; the upper
-# ones and those of scripts leave room for ordinary prose, which takes 3 to 5 characters a token where words are known. Typical values of the
-# four languages are means of texts labelled good with even ids; scripts have no labelled texts, theirs are set by hand.
+# Means over texts labelled good with even ids, cut to 10, 15, 20, 30, 50, 80, 150 and 400 words and weighted by their tokens. That of the script has the loosest of the four languages'.
 BANDS = {
-    "en": Band(2.3, 8.0, 0.15, 5.6, 2.63, 0.01, 6.54),
-    "de": Band(2.33, 8.0, 0.15, 5.7, 2.62, 0.01, 6.43),
-    "es": Band(2.11, 8.0, 0.15, 5.7, 2.29, 0.01, 6.49),
-    "fr": Band(2.0, 8.0, 0.15, 5.5, 2.35, 0.01, 6.37),
-    "latin": Band(1.3, 8.0, 0.25, 4.0, 2.5, 0.02, 6.4),
-    "cyrillic": Band(1.0, 6.0, 0.25, 4.0, 2.0, 0.02, 6.4),
-    "cjk": Band(0.3, 3.0, 0.75, 4.0, 0.7, 0.5, 6.0),
-    "other": Band(0.3, 8.0, 0.95, 3.0, 0.6, 0.7, 5.0),
+    "en": Band(2.63, 0.0102, 116),
+    "de": Band(2.62, 0.0089, 103),
+    "es": Band(2.29, 0.0085, 103),
+    "fr": Band(2.35, 0.0092, 98),
+    "latin": Band(2.29, 0.0102, 98),
 }
+MOST_CHARS = 8.0  # ordinary prose takes 3 to 5 characters a token where its words are known
+WIDTH = 5.0
+# Standard errors of the three figures: times 1 / sqrt(n), as those texts have, and of texts as a whole.
+ERRORS = {"chars": (1.12, 0.03), "byte_share": (0.12, 0.002), "entropy": (0.95, 0.03)}
 
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -132,14 +127,14 @@ def measures(text: Column, language: Column, model: str) -> Column:
     return measure(text, language)
 
 
-def in_band(m: str, bands: dict[str, Band] = BANDS, sure: int = SURE) -> Column:
-    """Whether the measures in struct column m, drawn towards the typical ones by the number of tokens, lie within the band of its language or script."""
-    n = F.col(f"{m}.n_tokens").cast("double")
-    own = n * n / (n * n + float(sure * sure))
-    drawn = lambda name, typical: own * F.col(f"{m}.{name}") + (1 - own) * typical
-    within = F.lit(False)
+def in_band(m: str, bands: dict[str, Band] = BANDS, width: float = WIDTH) -> Column:
+    """Whether the measures in struct column m lie within the band of their language or script, as wide as their number of tokens asks for; true where there is none."""
+    n = F.greatest(F.col(f"{m}.n_tokens"), F.lit(1)).cast("double")
+    room = {name: width * F.sqrt(each * each / n + whole * whole) for name, (each, whole) in ERRORS.items()}
+    within = F.lit(True)
     for name, b in bands.items():
-        fits = drawn("chars_per_token", b.chars).between(b.min_chars, b.max_chars) & (drawn("byte_share", b.byte_share) <= b.max_byte_share) & (drawn("token_entropy", b.entropy) >= b.min_entropy)
+        chars = F.col(f"{m}.chars_per_token").between(b.chars - room["chars"], MOST_CHARS)
+        fits = chars & (F.col(f"{m}.byte_share") <= b.byte_share + room["byte_share"]) & (F.col(f"{m}.token_entropy") >= -F.log2(1 / n + 1 / b.kinds) - room["entropy"])
         within = F.when(F.col(f"{m}.script") == name, fits).otherwise(within)
     return within
 
