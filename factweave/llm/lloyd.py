@@ -141,7 +141,7 @@ class Centroids:
     """The tree of one round's centroids, made in each task that needs it."""
 
     def __init__(self, values: list[list[int]]):
-        self.values = np.array(values, "i8")
+        self.values = np.array(values, "i8") if values else np.zeros((0, 1), "i8")
         self.tree, order = cover_tree(self.values)
         self.sorted = self.values[order]
         leaf = np.flatnonzero(self.tree.children == 0)

@@ -175,7 +175,7 @@ contexts as (select substr(g, 1, length(g) - 1) as c, {", ".join(f"sum({n})::big
 scored as (select w, {", ".join(f"round((ln(p_allow{f}) - ln(p_block{f})) * 1048576)::bigint as d{f}" for f in ("", 0, 1))} from s5),
 sums as (select url, floor(sum(d)::bigint * 256 / (count(*) * 1048576))::bigint as score, floor(sum(case when half = 0 then d1 else d0 end)::bigint * 256 / (count(*) * 1048576))::bigint as held from e join scored using (w) group by 1),
 steps as (select held, coalesce(sum(n) filter (action = 'allow'), 0)::bigint as a, coalesce(sum(n) filter (action = 'block'), 0)::bigint as b from sums join k using (url) where action is not null group by 1),
-cut as (select held, (sum(a) over (order by held rows between current row and unbounded following))::bigint / nullif((sum(a) over ())::bigint, 0)
+cut as (select coalesce(lag(held) over (order by held) + (held - lag(held) over (order by held) + 1) // 2, held) as held, (sum(a) over (order by held rows between current row and unbounded following))::bigint / nullif((sum(a) over ())::bigint, 0)
     + coalesce(sum(b) over (order by held rows between unbounded preceding and 1 preceding), 0)::bigint / nullif((sum(b) over ())::bigint, 0) as gain from steps),
 least as (select coalesce(arg_min(held, struct_pack(g := -gain, held)), 0) as least from cut where gain is not null)
 select page_id, host, path, rule, score, coalesce(action, case when score >= least then 'allow' else 'block' end) as verdict from pages join k on k.url = coalesce(pages.url, '') join sums on sums.url = k.url cross join least""",

@@ -8,8 +8,8 @@ is Witten and Bell's mixture over all shorter contexts, in which a context weigh
 the log-likelihood of its characters and its end under the allowing model less that under the blocking one, divided by their number. What follows a window of
 order + 1 characters is fixed by the window, so statistics are gathered and scores computed once for each different window, over all rows; no window is left out.
 
-Calibration. Hosts are dealt into two halves; labelled URLs are scored by models of the other half, and the limit is the score, in steps of 1 / STEPS, that
-maximises the mean of the shares of allowed URLs at or above it and of blocked URLs below it; the smallest of equally good ones. Without labelled URLs of both kinds it is zero.
+Calibration. Hosts are dealt into two halves; labelled URLs are scored by models of the other half, in steps of 1 / STEPS. The limit lies in the middle between two scores, so that
+the mean of the shares of allowed URLs at or above it and of blocked URLs below it is greatest; the lowest of equally good ones. Without labelled URLs of both kinds it is zero.
 Logarithms are rounded to 1 / UNIT, so that sums do not depend on the order of rows.
 
 Rows: a null URL counts as empty; it has neither host nor path, fits no rule and is judged by its end alone. Repeated rows count in the statistics and have a result each.
@@ -104,7 +104,9 @@ def limit_of(scores: DataFrame) -> DataFrame:
     before = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     rows = at.withColumn("a_below", F.coalesce(F.sum("a").over(before), F.lit(0))).withColumn("b_below", F.coalesce(F.sum("b").over(before), F.lit(0))).crossJoin(F.broadcast(whole))
     gain = (F.col("all_a") - F.col("a_below")) / F.col("all_a") + F.col("b_below") / F.col("all_b")
-    best = rows.where("all_a > 0 and all_b > 0").agg(F.min(F.struct((-gain).alias("g"), "score"))["score"].alias("least"))
+    below = F.lag("score").over(Window.orderBy("score"))
+    rows = rows.withColumn("before", below).withColumn("limit", F.coalesce(F.expr("before + (score - before + 1) div 2"), F.col("score")))
+    best = rows.where("all_a > 0 and all_b > 0").agg(F.min(F.struct((-gain).alias("g"), "limit"))["limit"].alias("least"))
     return best.select(F.coalesce("least", F.lit(0).cast("bigint")).alias("least"))
 
 
