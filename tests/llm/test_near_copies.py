@@ -14,17 +14,10 @@ def plain(text):
     return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
-def bits(text):
-    """Fingerprint by counting each bit of the shingles' hashes."""
-    hashes = near_copies.shingles((text or "").encode()).tolist()
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def classes(texts, radius=near_copies.RADIUS):
-    """Brute force: the smallest position that each can reach."""
+def classes(texts):
+    """Brute force over all pairs, by the similarity alone: the smallest position that each can reach."""
     sets = [plain(t) for t in texts]
-    prints = [bits(t) for t in texts]
-    links = [(i, j) for i in range(len(sets)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) and (prints[i] ^ prints[j]).bit_count() <= radius]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
     least, changed = list(range(len(sets))), True
     while changed:
         changed = False
@@ -61,20 +54,50 @@ def test_prefixes_of_similar_sets_meet():
                     assert heads[i] & heads[j]
 
 
+def test_fingerprints_part_no_similar_sets():
+    """The bits that differ are never more than the shingles that do, at any width."""
+    rng = np.random.default_rng(5)
+    for n, m in [(1, 1), (5, 4), (40, 44), (130, 120), (700, 640), (3000, 2500)]:
+        pool = rng.integers(0, 1 << 63, 4000).astype("u8")
+        for _ in range(30):
+            a = np.unique(rng.choice(pool, n, False))
+            b = np.unique(np.concatenate((a[: rng.integers(0, len(a) + 1)], rng.choice(pool, m // 3))))
+            x, y = near_copies.parities(a), near_copies.parities(b)
+            differ = len(np.setxor1d(a, b))
+            f, g = (near_copies.folded(w, 64) for w in (x, y))
+            narrow = int(np.bitwise_count(f ^ g).sum())
+            counted = int(np.bitwise_count(near_copies.counts_of(f) ^ near_copies.counts_of(g)).sum())
+            assert counted <= narrow <= differ and near_copies.apart(x, y) <= differ
+            if near_copies.similar(a, b, 0.8):
+                assert differ <= near_copies.most_apart(len(a), len(b), 0.8)
+
+
 def test_classes_equal_brute_force(spark):
     texts = corpus(random.Random(3))
     docs = spark.createDataFrame([(i, -i, t) for i, t in enumerate(texts)], "_a long, _b long, text string").repartition(3)
     want = classes(texts)
     assert len(texts) > 200 and 60 < len(set(want)) < len(texts) - 60
-    # At a narrow radius the bits decide, at the wide one no similar pair is lost.
-    assert len(set(classes(texts, 3))) > len(set(want))
-    for crowded, radius in ((2, 14), (32, 3)):
-        got = {r._a: r["class"] for r in near_copies.classes_of(docs, crowded=crowded, radius=radius).collect()}
-        want = classes(texts, radius)
+    # With hardly any leaders all is left to blocks, here of three sets.
+    for crowded, leaders, block in ((2, 5, 2048), (32, 5, 2048), (2, 0, 3)):
+        got = {r._a: r["class"] for r in near_copies.classes_of(docs, crowded=crowded, leaders=leaders, block=block).collect()}
         assert len({(got[i], w) for i, w in enumerate(want)}) == len(set(want)) == len(set(got.values()))
     assert near_copies.classes_of(docs.limit(0)).count() == 0
 
 
+def test_sets_of_a_template(spark):
+    """Hundreds of texts that share most of a form but are not similar, and some that are, all in the form's cells."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 9)))
+    form = [word() for _ in range(60)]
+    texts = [" ".join(form + [word() for _ in range(rng.randint(8, 22))]) for _ in range(150)]
+    texts += [" ".join([*t.split()[:-1], word()]) for t in texts[:25]]
+    docs = spark.createDataFrame([(i, -i, t) for i, t in enumerate(texts)], "_a long, _b long, text string").repartition(3)
+    want = classes(texts)
+    for block in (2048, 20):
+        got = {r._a: r["class"] for r in near_copies.classes_of(docs, crowded=4, leaders=1, block=block).collect()}
+        assert len({(got[i], w) for i, w in enumerate(want)}) == len(set(want)) == len(set(got.values()))
+
+
 def test_stage_finds_copies_beyond_two_bits(spark):
     texts = corpus(random.Random(4))
     rows = [(i, t, "en", f"s{i % 3}", 1) for i, t in enumerate(texts)] + [(None, texts[5], "en", "s", 1)]
@@ -90,10 +113,10 @@ def test_cells_of_one_batch_and_of_many_rows():
     import pyarrow as pa
 
     rng = random.Random(6)
-    rows = sorted((c, s, 10, rng.getrandbits(63)) for c, n in ((1, 1), (5, 3), (6, 40), (9, 33), (12, 32), (13, 2)) for s in rng.sample(range(1000), n))
+    rows = sorted((c, s, 10, 0, 0) for c, n in ((1, 1), (5, 3), (6, 40), (9, 33), (12, 32), (13, 2)) for s in rng.sample(range(1000), n))
     for width in (1, 2, 7, 500):
-        batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + width])], names=list("csnf")) for i in range(0, len(rows), width)]
-        got = pa.Table.from_batches(near_copies._paired(0.8, 64, 32)(iter(batches)), schema=pa.schema([("c", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("f", pa.int64())])).to_pylist()
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + width])], names=list(near_copies.CELL)) for i in range(0, len(rows), width)]
+        got = pa.Table.from_batches(near_copies._paired(0.8, 32)(iter(batches)), schema=pa.schema([("c", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("f", pa.int64())])).to_pylist()
         many = [(r["c"], r["a"], r["n"], r["f"]) for r in got if r["b"] is None]
-        assert sorted(many) == [r for r in rows if r[0] in (6, 9)]
+        assert sorted(many) == [r[:4] for r in rows if r[0] in (6, 9)]
         assert sum(r["b"] is not None for r in got) == 3 + 32 * 31 // 2 + 1
