@@ -3,8 +3,8 @@
 Measured for each whole text: characters per token, the share of tokens that are fallback bytes, and the entropy of its tokens
 in bits. Each has a band by language; a text of another or no language takes the band of the script of most of its letters, if there is one.
 The fewer tokens a text has, the more its figures are chance, so a band is as wide as WIDTH standard errors of n tokens, and a text of n tokens is expected to have the
-entropy of n draws, -log2(1 / n + 1 / kinds). No text is exempt for being short: with the 25 tokens of ten words one fails with less than 1.5 characters a token, with more than
-four bytes, or with an entropy below 3.3 bits. Scripts other than Latin have no labelled texts to take a band from, so the method keeps their texts.
+entropy of n draws, -log2(1 / n + 1 / kinds). No text is exempt for being short: an English one with the 25 tokens of ten words fails with less than 1.5 characters a
+token, with four bytes or more, or with an entropy below 3.4 bits. Scripts other than Latin have no labelled texts to take a band from, so the method keeps their texts.
 
 Rows: a null text has no words and fails the base rule; an empty one too. A null language is unknown. Repeated rows and ids keep
 one result each; other columns of any name pass through.

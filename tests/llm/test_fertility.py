@@ -56,7 +56,7 @@ def test_ten_words_can_fail_each_way(spark):
     """Ten words of 25 tokens or so fail by few characters a token, by bytes, and by entropy; ten ordinary ones do not, and without a band none does."""
     texts = {
         "plain": "The morning train was late because of heavy snow today.",
-        "few": " ".join("q7 z9 x4 k2 j8 w3 v6 q1 z5 x0".split()),
+        "few": "q7z9 x4k2 j8w3 v6q1 z5x0 7qj3 9zk8 4xw1 2kv6 8jq5",
         "bytes": "river stone ☃a ☂b ☀c garden window ☁d morning ☄e",
         "same": "la la la la la la la la la la la la la la la da",
     }
