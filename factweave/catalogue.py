@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.plans import checks, decisions, joins, texts  # noqa: F401  each registers its queries
+from factweave.plans import chains, checks, decisions, joins, texts  # noqa: F401  each registers its queries
 from factweave.plans.registry import QUERIES, SQL
 
 

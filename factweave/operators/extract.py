@@ -1,4 +1,4 @@
-"""Facts read from source lines by patterns: environment names, messaging channels, page routes, HTTP endpoints, row policies.
+"""Facts read from source lines by patterns: environment names, messaging channels, page routes, HTTP endpoints.
 
 Input is lines(path, line, text). Patterns see one line at a time, and names are told apart by file; what needs a full parser of a language is not read.
 """
@@ -116,32 +116,6 @@ def endpoints(rows: DataFrame) -> DataFrame:
     return calls.join(reached, "node").select("method", F.when(full == "", "/").otherwise(full).alias("route"), F.col("path").alias("file")).distinct()
 
 
-STATEMENT = r"(?is)^\s*(create|drop)\s+policy\s+(?:if\s+exists\s+)?\"?([^\"]+?)\"?\s+on\s+(?:(\w+)\.)?(\w+)"
-ROW_SECURITY = r"(?is)^\s*alter\s+table\s+(?:only\s+)?(?:(\w+)\.)?(\w+)\s+(enable|disable)\s+row\s+level\s+security"
-
-
-def statements(files: DataFrame) -> DataFrame:
-    """path, number and text of each statement of SQL files(path, content), comments left out. A quoted semicolon ends a statement too."""
-    text = F.regexp_replace(F.regexp_replace(F.decode("content", "UTF-8"), r"(?m)--.*$", ""), r"(?s)/\*.*?\*/", "")
-    return files.select("path", F.posexplode(F.split(text, ";")).alias("number", "text")).where(F.trim("text") != "")
-
-
-def policies(stmts: DataFrame) -> DataFrame:
-    """schema, table, name and command of the policies that are left after all files in order of their names."""
-    part = lambda n: F.regexp_extract("text", STATEMENT, n)
-    rows = stmts.where(F.col("text").rlike(STATEMENT)).select("path", "number", F.lower(part(1)).alias("op"), part(2).alias("name"), F.when(part(3) == "", "public").otherwise(part(3)).alias("schema"), part(4).alias("table"), F.lower(F.regexp_extract("text", r"(?i)\bfor\s+(all|select|insert|update|delete)\b", 1)).alias("command"))
-    left = derive.replay(rows, ["schema", "table", "name"], ["path", "number"], "op", "create")
-    return left.select("schema", "table", "name", F.when(F.col("command") == "", "all").otherwise(F.col("command")).alias("command"))
-
-
-def row_security(stmts: DataFrame) -> DataFrame:
-    """schema, table and enabled: the last word of all files in order."""
-    part = lambda n: F.regexp_extract("text", ROW_SECURITY, n)
-    rows = stmts.where(F.col("text").rlike(ROW_SECURITY)).select("path", "number", F.when(part(1) == "", "public").otherwise(part(1)).alias("schema"), part(2).alias("table"), (F.lower(part(3)) == "enable").alias("enabled"))
-    last = Window.partitionBy("schema", "table").orderBy(F.desc("path"), F.desc("number"))
-    return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").select("schema", "table", "enabled")
-
-
 def packages(files: DataFrame) -> DataFrame:
     """name and path of each package manifest; one without a name is called by its folder."""
     folder = F.regexp_replace("path", r"/?[^/]+$", "")

@@ -31,6 +31,27 @@ def prefixes(roots: DataFrame, mounts: DataFrame, join: Column | None = None, li
         levels.append(reach)
 
 
+def beginnings(links: DataFrame, most: int | None = None) -> DataFrame:
+    """node and root: where the chain of links(node, parent) from each node begins. A node that is its own parent is a root; a parent that is null or no node leads nowhere: root is null.
+
+    Pointer doubling: each round every node looks as far ahead as its parent has, so chains of n steps take log2(n) rounds on written tables. A node has one parent; circles lead nowhere. Chains of
+    more than `most` steps, if it is given, lead nowhere either.
+    """
+    far = written(links.select("node", F.col("parent").alias("root"), (F.col("node") == F.col("parent")).cast("long").alias("_end"), (F.col("node") != F.col("parent")).cast("long").alias("_n")).where("root is not null"))
+    limit = far.count()
+    reached = 1
+    while True:
+        ahead = far.select(F.col("node").alias("root"), F.col("root").alias("_r"), F.col("_end").alias("_e"), F.col("_n").alias("_m"))
+        step = far.where("_end = 0").join(ahead, "root").select("node", F.col("_r").alias("root"), F.col("_e").alias("_end"), (F.col("_n") + F.col("_m")).alias("_n"))
+        far = written(far.where("_end = 1").unionByName(step))
+        open_ = far.where("_end = 0")
+        if open_.isEmpty() or reached > limit:
+            break
+        reached *= 2
+    done = far.where("_end = 1") if most is None else far.where((F.col("_end") == 1) & (F.col("_n") <= most))
+    return links.select("node").join(done.select("node", "root"), "node", "left")
+
+
 def sweeps(names: DataFrame, needs: DataFrame) -> DataFrame:
     """name and sweep of names(name) with needs(name, need): the sweep over all names in alphabetical order in which each comes when everything it needs has come.
 

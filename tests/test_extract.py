@@ -1,6 +1,6 @@
 """Extraction, claims, repairs and rendering on a small repository written out here."""
 
-from factweave.operators import claims, extract, render, repair
+from factweave.operators import claims, extract, policies, render, repair
 
 CODE = {
     "src/app.js": "const app = express()\nconst api = require('./routes/api')\nconst own = Router()\napp.use('/v1', api)\napp.use('/v2', api)\napp.get('/health', h)\napp.use('/own', own)\nown.delete('/x/', h)\nprocess.env.PORT + process.env.API_KEY",
@@ -41,9 +41,9 @@ def test_routes_packages_policies(spark):
     f = files(spark)
     assert {(r.route, r.path) for r in extract.page_routes(f).collect()} == {("/", "app/page.tsx"), ("/users/:id", "app/(site)/users/[id]/page.tsx")}
     assert {(r.name, r.path) for r in extract.packages(f).collect()} == {("root", "."), ("pkg/a", "pkg/a")}
-    sql = extract.statements(f.where("path like '%.sql'"))
-    assert {tuple(r) for r in extract.policies(sql).collect()} == {("public", "t", "a b", "select"), ("s", "u", "q", "insert")}
-    assert [tuple(r) for r in extract.row_security(sql).collect()] == [("public", "t", False)]
+    left, secured = policies.replayed(policies.statements(f.where("path like '%.sql'")))
+    assert {(r.schema, r.table, r.name, r.command) for r in left.collect()} == {("public", "t", "a b", "SELECT"), ("s", "u", "q", "INSERT")}
+    assert [(r.schema, r.table, r.enabled) for r in secured.collect()] == [("public", "t", False)]
 
 
 def test_churn(spark):
