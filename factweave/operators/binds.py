@@ -13,18 +13,16 @@ def exact(binds: DataFrame, facts: DataFrame) -> DataFrame:
     return binds.join(facts, binds.raw == facts.id, "left")
 
 
-def by_prefix(binds: DataFrame, facts: DataFrame, width: int = 4) -> DataFrame:
+def by_prefix(binds: DataFrame, facts: DataFrame) -> DataFrame:
     """binds(marker, prefix) with every fact whose id starts with the prefix.
 
-    Prefixes of at least `width` characters meet ids on their first characters, so that Spark can shuffle on a key; shorter ones are compared with all ids.
+    Ids are cut to the different lengths that prefixes have, so that whole prefixes meet by equality and no key holds more than its prefix's own facts. The lengths are as many as the
+    longest prefix has characters at most.
     """
-    long = binds.where(F.length("prefix") >= width).withColumn("_k", F.substring("prefix", 1, width))
-    keyed = facts.withColumn("_k", F.substring("id", 1, width))
-    met = long.join(keyed, (long._k == keyed._k) & keyed.id.startswith(long.prefix)).drop("_k")
-    short = binds.where(F.length("prefix") < width)
-    sizes = [F.substring("id", 1, n) for n in range(width)]
-    rest = facts.withColumn("_k", F.explode(F.array_distinct(F.array(*sizes))))
-    return met.unionByName(short.join(rest, short.prefix == rest._k).drop("_k"))
+    sizes = [r.n for r in binds.where("prefix is not null").select(F.length("prefix").alias("n")).distinct().collect()]
+    cuts = F.array(*[F.when(F.length("id") >= n, F.substring("id", 1, n)) for n in sorted(sizes)]) if sizes else F.array().cast("array<string>")
+    keyed = facts.withColumn("_k", F.explode(F.array_compact(cuts)))
+    return binds.join(keyed, binds.prefix == keyed._k).drop("_k")
 
 
 def by_package(binds: DataFrame, owned: DataFrame) -> DataFrame:

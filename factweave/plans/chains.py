@@ -65,7 +65,7 @@ with paths as (select replace(p_type || ' ' || p_name, ' ', '/') || '/' || p_bra
 w as (select distinct string_split(p_type || ' ' || p_name, ' ') as w, length(p_type || p_name) % 5 as k from part),
 g as (select distinct case k when 0 then w[1] || '/**/Brand#1?/*' when 1 then '**/' || w[2] || '/**/*5.js' when 2 then w[1] || '/*/' || w[3] || '/' when 3 then '{' || w[1] || ',X}/' || w[2] || '/**/*1.{ts,js}' else '**/' || w[3] || '/Brand*/1*' end as gl from w),
 r as (select gl, case when gl like '%/' then gl || '**' else gl end as x from g),
-p as (select gl, '^' || replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(x, '.', '\.'), '{', '(?:'), '}', ')'), ',', '|'), '**/', chr(1)), '**', chr(2)), '*', '[^/]*'), '?', '[^/]'), chr(1), '(?:[^/]+/)*'), chr(2), '.*') || '$' as pattern from r)
+p as (select gl, '^' || replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(x, '.', '\.'), '?', '[^/]'), '{', '(?:'), '}', ')'), ',', '|'), '**/', chr(1)), '**', chr(2)), '*', '[^/]*'), chr(1), '(?:[^/]+/)*'), chr(2), '.*') || '$' as pattern from r)
 select gl as "glob", path from p join paths on regexp_matches(path, pattern)""")
 def q89_globs(spark, d):
     """Parts as files in folders of their type and name, met by globs made of the same words; the SQL compares all pairs by regular expressions."""
