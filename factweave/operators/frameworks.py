@@ -82,8 +82,7 @@ LIST = r"{}:\s*(?:%i)?\[([^\]]*)\]"
 def resource_lines(lines: DataFrame) -> DataFrame:
     """file, method and path of routes written as nested blocks, from lines(file, line, text).
 
-    A block is open at a line if it begins before and is deeper than the least depth since: lines that open count up, `end` counts down, and the prefix is that of the
-    last opening line of each depth up to the line's own.
+    Lines that open count up, `end` counts down, and the prefix is that of the last line that opened at each depth above the line's own.
     """
     text = F.trim(F.regexp_replace("text", "#.*$", ""))
     rows = lines.withColumn("text", text).where("text <> ''")
@@ -93,12 +92,12 @@ def resource_lines(lines: DataFrame) -> DataFrame:
     upto = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     step = F.when(opens, 1).when(F.col("text") == "end", -1).otherwise(0)
     rows = rows.withColumn("opens", opens).withColumn("part", part).withColumn("_step", step).withColumn("depth", F.coalesce(F.sum("_step").over(upto), F.lit(0)))
-    # Blocks of each depth: the last that opened there before a line, if the depth has not fallen to it since.
-    blocks = rows.where("opens").select("file", F.col("line").alias("begin"), F.col("depth").alias("at"), "part")
-    ends = rows.where("text = 'end'").select("file", F.col("line").alias("end"), (F.col("depth") - 1).alias("at"))
-    spans = blocks.join(ends, ["file", "at"], "left").where("end is null or end > begin").groupBy("file", "begin", "at", "part").agg(F.min("end").alias("end"))
-    inside = rows.join(spans.select("file", "begin", "at", "end", F.col("part").alias("_part")), "file").where("begin < line and (end is null or line < end)")
-    prefix = inside.groupBy("file", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "_part"))), lambda x: x["_part"]), "").alias("prefix"))
+    # A line asks for the last block that opened at each depth above its own: a window for each file and depth, in which only openings have a part.
+    mine = rows.where("depth > 0").select("file", "line", F.explode(F.sequence(F.lit(0), F.col("depth") - 1)).alias("at"), F.lit(None).cast("string").alias("part"), F.lit(True).alias("asks"))
+    begun = rows.where("opens").select("file", "line", F.col("depth").alias("at"), "part", F.lit(False).alias("asks"))
+    before = Window.partitionBy("file", "at").orderBy("line").rangeBetween(Window.unboundedPreceding, -1)
+    open_ = mine.unionByName(begun).withColumn("_part", F.last("part", ignorenulls=True).over(before)).where("asks")
+    prefix = open_.groupBy("file", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "_part"))), lambda x: x["_part"]), "").alias("prefix"))
     rows = rows.join(prefix, ["file", "line"], "left").withColumn("prefix", F.coalesce("prefix", F.lit("")))
     listed = lambda word: F.when(F.col("text").rlike(LIST.format(word)), F.filter(F.split(F.regexp_extract("text", LIST.format(word), 1), r"[,\s:]+"), lambda x: x != ""))
     resources = rows.where(F.col("text").rlike(RESOURCE)).select("file", "prefix", tail.alias("name"), F.col("text").rlike(r"^resources\s").alias("plural"), listed("only").alias("only"), listed("except").alias("except"))

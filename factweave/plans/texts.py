@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factweave.functions import canon
 from factweave.functions.text import LONG_TOKEN, in_scope, name_tokens, plain_parameters, without_name
-from factweave.operators import derive, drift, normalise, rank, report
+from factweave.operators import claims, derive, drift, extract, normalise, rank, report
 from factweave.plans.decisions import FINDINGS_SQL, findings
 from factweave.plans.joins import URL_PATH, unsold
 from factweave.plans.registry import query, table
@@ -26,18 +25,22 @@ def q26_name_status(spark, d):
 
 
 @query("""
-with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents)
+with l as (select doc_id, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) as line from documents)
 select doc_id, count(*) as n_lines, sum(len(regexp_extract_all(line, '[^ ]{20,}')))::bigint as n_long from l group by 1""")
 def q27_lines(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.regexp_count("line", F.lit("[^ ]{20,}"))).alias("n_long"))
+    lines = extract.lines(table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content")))
+    return lines.groupBy(F.col("path").alias("doc_id")).agg(F.count("*").alias("n_lines"), F.sum(F.regexp_count("text", F.lit("[^ ]{20,}"))).alias("n_long"))
+
 
 
 @query("""
-select event_id, user_id, last_value(case when event_type = 'signup' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as section from events""")
+select event_id, user_id, last_value(case when event_type = 'signup' then event_id end ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and current row) as section from events""")
 def q28_section_carry(spark, d):
-    upto = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return table(spark, d, "events").select("event_id", "user_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(upto).alias("section"))
+    """Events as lines of their user's document, signups as its headings."""
+    text = F.when(F.col("event_type") == "signup", F.concat(F.lit("## "), "event_id")).otherwise(F.col("event_type"))
+    rows = claims.with_section(table(spark, d, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("line"), text.alias("text")))
+    return rows.select(F.col("line").alias("event_id"), F.col("doc").alias("user_id"), F.when(F.col("section") != "", F.col("section").cast("bigint")).alias("section"))
+
 
 
 @query("""
@@ -55,13 +58,25 @@ def q30_path_scope(spark, d):
 
 
 @query("""
-with l as (select distinct unnest(regexp_extract_all(html, 'href="/([^"?#]*)', 1)) as link from pages),
-k as (select distinct regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1) as link from pages)
-select link from l where link not in (select link from k)""")
+with p as (select *, p_partkey::varchar as k, p_partkey % 8 as c from part),
+m as (select 'd' || (p_partkey % 50) || '.md' as doc, p_partkey as line, ['file', 'link', 'script', 'make', 'version', 'env', 'route', 'curl'][c + 1] as class, p_size,
+    case c when 0 then 'src/f' || k || '.js' when 1 then 'src/f' || k || '.js' when 2 then 's' || k when 3 then 't' || k when 4 then 'node ' || (10 + p_partkey % 90) when 5 then 'VAR_' || k when 6 then 'GET /v/' || k || '/:id' else 'curl .../v/' || k end as claim,
+    case c when 4 then (10 + p_partkey % 90)::varchar when 6 then 'GET /v/' || k || '/{}' when 7 then 'ANY /v/' || k when 0 then 'src/f' || k || '.js' when 1 then 'src/f' || k || '.js' when 2 then 's' || k when 3 then 't' || k else 'VAR_' || k end as key from p)
+select doc, line, class, claim from m where not (class = 'file' and p_size % 5 = 0) and (case class when 'link' then 'file' else class end, key) not in (select case class when 'link' then 'file' else class end, key from m where p_size % 2 = 0)""")
 def q31_claim_truth(spark, d):
-    pages = table(spark, d, "pages")
-    links = pages.select(F.explode(F.regexp_extract_all("html", F.lit('href="/([^"?#]*)'), F.lit(1))).alias("link")).distinct()
-    return links.join(pages.select(F.regexp_extract("url", URL_PATH, 1).alias("link")), "link", "left_anti")
+    """Parts as lines of documents, each with a claim of one of the eight classes; those of even size are borne out, files that a line says to create are no claims."""
+    k, c = F.col("p_partkey").cast("string"), F.col("p_partkey") % 8
+    file = F.concat(F.lit("src/f"), k, F.lit(".js"))
+    shown = F.when(c == 0, F.concat(F.when(F.col("p_size") % 5 == 0, "Create `").otherwise("See `"), file, F.lit("`."))).when(c == 1, F.concat(F.lit("[here]("), file, F.lit("#top)"))).when(c == 2, F.concat(F.lit("Use npm run s"), k))
+    shown = shown.when(c == 3, F.concat(F.lit("Use `make t"), k, F.lit("`"))).when(c == 4, F.concat(F.lit("Needs Node.js >= "), 10 + F.col("p_partkey") % 90)).when(c == 5, F.concat(F.lit("Set `VAR_"), k, F.lit("` first")))
+    shown = shown.when(c == 6, F.concat(F.lit("GET /v/"), k, F.lit("/:id, "))).otherwise(F.concat(F.lit("curl -s http://localhost:8080/v/"), k))
+    part = table(spark, d, "part")
+    lines = part.select(F.concat(F.lit("d"), F.col("p_partkey") % 50, F.lit(".md")).alias("doc"), F.col("p_partkey").alias("line"), shown.alias("text"))
+    key = F.when(c <= 1, file).when(c == 2, F.concat(F.lit("s"), k)).when(c == 3, F.concat(F.lit("t"), k)).when(c == 4, (10 + F.col("p_partkey") % 90).cast("string")).when(c == 5, F.concat(F.lit("VAR_"), k)).when(c == 6, F.concat(F.lit("GET /v/"), k, F.lit("/{}"))).otherwise(F.concat(F.lit("ANY /v/"), k))
+    kinds = F.array(*map(F.lit, ("file", "file", "script", "make", "version", "env", "route", "curl")))
+    known = part.where("p_size % 2 = 0").select(F.element_at(kinds, (c + 1).cast("int")).alias("class"), key.alias("key"))
+    return claims.unsupported(claims.claims(lines), known)
+
 
 
 @query("""
@@ -75,9 +90,10 @@ def q32_channel_merge(spark, d):
 with e as (select max(o_orderdate) as top from orders)
 select o_custkey, count(*) as commits, epoch_us(max(o_orderdate)) as last, count(distinct o_orderpriority) as authors from orders, e where o_orderdate > top - interval 365 day group by 1""")
 def q33_churn(spark, d):
-    orders = table(spark, d, "orders").withColumn("at", F.col("o_orderdate").cast("timestamp"))
-    rows = orders.crossJoin(F.broadcast(orders.agg(F.max("at").alias("top")))).where(F.expr("at > top - interval 365 days"))  # one row
-    return rows.groupBy("o_custkey").agg(F.count("*").alias("commits"), F.unix_micros(F.max("at")).alias("last"), F.count_distinct("o_orderpriority").alias("authors"))
+    log = table(spark, d, "orders").select(F.col("o_orderkey").alias("sha"), F.col("o_orderpriority").alias("author"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_custkey").alias("path"))
+    rows = extract.churn(log, log.agg(F.max("at").cast("date").cast("string")).first()[0])
+    return rows.select(F.col("path").alias("o_custkey"), "commits", F.unix_micros("last").alias("last"), "authors")
+
 
 
 @query("""
@@ -85,12 +101,11 @@ with touch as (select l_partkey, count(*) as n from lineitem group by 1), m as (
 s as (select o_orderkey, case o_orderpriority when '1-URGENT' then 2 when '2-HIGH' then 1 else 0 end * (1 + hot) as score from orders join m on l_orderkey = o_orderkey)
 select o_orderkey, score from s where score > 0 order by score desc, o_orderkey limit 20""")
 def q34_mine(spark, d):
-    items = table(spark, d, "lineitem")
-    touch = items.groupBy("l_partkey").agg(F.count("*").alias("n"))
-    hot = items.join(touch, "l_partkey").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("n").alias("hot"))
-    strength = F.when(F.col("o_orderpriority") == "1-URGENT", 2).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(0)
-    rows = table(spark, d, "orders").join(hot, "o_orderkey").select("o_orderkey", (strength * (1 + F.col("hot"))).alias("score"))
-    return rows.where("score > 0").orderBy(F.desc("score"), "o_orderkey").limit(20)
+    """Orders as commits, their parts as the files touched, priorities as subjects."""
+    files = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sha")).agg(F.collect_list("l_partkey").alias("files"))  # the few lines of one order
+    commits = table(spark, d, "orders").select(F.col("o_orderkey").alias("sha"), F.col("o_orderpriority").alias("subject")).join(files, "sha")
+    return rank.mined(commits, "^1-URGENT", "^2-HIGH", least=1).select(F.col("sha").alias("o_orderkey"), "score")
+
 
 
 @query("""
