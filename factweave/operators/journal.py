@@ -15,11 +15,11 @@ def latest(log: DataFrame, key: list[str], at: str, arrival: str) -> DataFrame:
 def effective(decisions: DataFrame, revokes: DataFrame, target: str, at: str, of: str | None = None) -> DataFrame:
     """Decisions (one row a target and type) that the target's latest revoke does not undo.
 
-    Only the latest revoke of a target counts: it undoes decisions of its type `of` (any, if None) that are not newer.
+    Only the latest revoke of a target counts: it undoes decisions of its type `of` (any, if None) that are older.
     """
     last = revokes.groupBy(target).agg(F.max_by(F.struct("*"), at).alias("_r"))
     joined = decisions.join(last, target, "left")
-    undone = F.col("_r").isNotNull() & (F.col(f"_r.{at}") >= F.col(at))
+    undone = F.col("_r").isNotNull() & (F.col(f"_r.{at}") > F.col(at))
     if of:
         undone &= F.col(f"_r.{of}") == F.col("type")
     return joined.where(~undone).drop("_r")

@@ -50,7 +50,7 @@ def q03_journal_latest(spark, d):
 @query("""
 with d as (select user_id, max(ts) as made from events where event_type = 'signup' group by 1),
 r as (select user_id, max(ts) as gone from events where event_type = 'error' group by 1)
-select user_id, epoch_us(made) as "at" from d left join r using (user_id) where gone is null or gone < made""")
+select user_id, epoch_us(made) as "at" from d left join r using (user_id) where gone is null or gone <= made""")
 def q04_revoke(spark, d):
     events = table(spark, d, "events").select("user_id", "event_type", F.expr(AT).alias("at"))
     decided = events.where("event_type = 'signup'").groupBy("user_id").agg(F.max("at").alias("at"))

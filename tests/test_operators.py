@@ -153,7 +153,8 @@ def test_stream_equals_table_for_any_arrival(spark, tmp_path):
     source = tmp_path / "in"
     for part in (rows[::2], rows[1::2]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(str(source))
-    query = stream.follow(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source)), "fold", str(tmp_path / "checkpoint"))
+    log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))
+    query = stream.folded(log).writeStream.outputMode("complete").format("memory").queryName("fold").option("checkpointLocation", str(tmp_path / "checkpoint")).start()
     query.processAllAvailable()
     query.stop()
     want = {("snooze", "a", "2024-01-02", 2), ("reject", "a", "2024-01-01", 4), ("snooze", "b", "2023-01-01", 5)}
