@@ -83,8 +83,16 @@ def findings(markers: DataFrame, facts: DataFrame, log: DataFrame, failed: DataF
     return rows.select("doc", "line", "kind", "id", state.alias("state"), "missing")
 
 
+LOCALE = "UNICODE"  # the root order of ICU, as people read names
+
+
+def place_of(*names: str) -> list[Column]:
+    """Columns to order by: texts in the order of ICU, and by code point where that sees no difference."""
+    return [*[F.collate(F.col(n), LOCALE) if n != "line" else F.col(n) for n in names], *[F.col(n) for n in names if n != "line"]]
+
+
 def in_order(rows: DataFrame) -> DataFrame:
-    return rows.orderBy("doc", "line", "id")
+    return rows.orderBy(*place_of("doc", "line", "id"))
 
 
 def classify(drifted: DataFrame, bound: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -117,7 +125,9 @@ def envelope(found: DataFrame, coverage: DataFrame, unreadable: DataFrame | None
     drifted = F.col("state").isin(*drift.DRIFT)
     counts = found.agg(F.count("*").alias("n"), F.count_if(drifted).alias("drift"), *[F.count_if(F.col("state") == s).alias(s) for s in (*drift.DRIFT, "clean")])
     first = in_order(found.where(drifted).select("doc", "line", "id", "state", "missing")).limit(top)
-    first = first.agg(F.array_sort(F.collect_list(F.struct("doc", "line", "id", "state", "missing"))).alias("_top"))
+    shown = F.struct("doc", "line", "id", "state", "missing")
+    sorted_ = F.array_sort(F.collect_list(F.struct(*[c.alias(f"_{n}") for n, c in enumerate(place_of("doc", "line", "id"))], shown.alias("shown"))))
+    first = first.agg(F.transform(sorted_, lambda x: x["shown"]).alias("_top"))
     bad = (unreadable if unreadable is not None else found.sparkSession.createDataFrame([], "doc string")).agg(F.count("*").alias("bad"))
     row = counts.crossJoin(F.broadcast(coverage.select("total", "documented", "pct"))).crossJoin(F.broadcast(first)).crossJoin(F.broadcast(bad))  # one row each
     code = F.when(F.col("bad") > 0, "UNREADABLE").when(F.col("drift") > 0, "DRIFT_FOUND").otherwise("CLEAN")
@@ -132,7 +142,7 @@ def envelope(found: DataFrame, coverage: DataFrame, unreadable: DataFrame | None
 
 def write_report(found: DataFrame, path: str) -> None:
     """All findings as JSON lines, in order of document, line and id within and across files."""
-    found.repartitionByRange("doc", "line", "id").sortWithinPartitions("doc", "line", "id").write.mode("overwrite").json(path)
+    found.repartitionByRange(*place_of("doc", "line", "id")).sortWithinPartitions(*place_of("doc", "line", "id")).write.mode("overwrite").json(path)
 
 
 def accept_rate(counts: DataFrame) -> DataFrame:

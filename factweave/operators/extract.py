@@ -38,10 +38,42 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def literal_of(pattern: str) -> str | None:
+    """The characters with which every match of a pattern begins, if its beginning is plain: a cheap test before the pattern."""
+    out, i = "", 0
+    while i < len(pattern):
+        c, after = pattern[i], pattern[i + 1 : i + 2]
+        if c == "\\" and after and not after.isalnum():
+            c, i = after, i + 1
+        elif not (c.isalnum() or c in "_-/ "):
+            break
+        if pattern[i + 1 : i + 2] in ("?", "*", "{"):
+            break
+        out, i = out + c, i + 1
+    return out if len(out) > 2 else None
+
+
+def screened(text: Column, pattern: str, group: int = 1) -> Column:
+    """found(), but the pattern only runs on texts that hold its literal."""
+    literal = literal_of(pattern)
+    if literal is None:
+        return found(text, pattern, group)
+    return F.when(F.contains(text, F.lit(literal)), found(text, pattern, group)).otherwise(F.array().cast("array<string>"))
+
+
+def worth_reading(text: Column, patterns: list[str]) -> Column:
+    """Whether a text holds the literal of any pattern, all in one filter of the scan; true for all texts if a pattern has none."""
+    literals = [literal_of(p) for p in patterns]
+    held = F.lit(None in literals)
+    for x in sorted({x for x in literals if x}):
+        held = held | F.contains(text, F.lit(x))
+    return held
+
+
 def env_names(rows: DataFrame, sites: int = 20) -> DataFrame:
     """name, whether it is read in code and declared in an example file, and its first sites."""
     example = F.col("path").rlike(EXAMPLE)
-    read = F.when(~example, F.concat(*[found(F.col("text"), p) for p in ENV_READS])).otherwise(found(F.col("text"), rf"^\s*({NAME})\s*="))
+    read = F.when(~example, F.concat(*[screened(F.col("text"), p) for p in ENV_READS])).otherwise(found(F.col("text"), rf"^\s*({NAME})\s*="))
     names = rows.select("path", "line", F.explode(read).alias("name"), example.alias("declared")).withColumn("read_in_code", ~F.col("declared"))
     return derive.name_status(names, ["name"], ["read_in_code", "declared"], F.struct("path", "line"), sites)
 
@@ -75,9 +107,10 @@ def channels(rows: DataFrame, rules: tuple[ChannelRule, ...] = CHANNEL_RULES) ->
     """kind, name, transport, role (both where sides differ) and number of files; parts filled in at run time stand as {}."""
 
     def named(r: ChannelRule) -> Column:
-        return F.transform(found(F.col("text"), r.pattern), lambda n: F.struct(F.lit(r.kind).alias("kind"), n.alias("name"), F.lit(r.transport).alias("transport"), F.lit(r.role).alias("role")))
+        return F.transform(screened(F.col("text"), r.pattern), lambda n: F.struct(F.lit(r.kind).alias("kind"), n.alias("name"), F.lit(r.transport).alias("transport"), F.lit(r.role).alias("role")))
 
     calls = F.flatten(F.array(*map(named, rules)))
+    rows = rows.where(worth_reading(F.col("text"), [r.pattern for r in rules]))
     hits = rows.select(F.col("path").alias("file"), F.explode(calls).alias("_c")).select("file", "_c.*").withColumn("name", F.regexp_replace("name", r"\$\{[^}]*\}", "{}"))
     return derive.merged_channels(hits, ["kind", "name", "transport"])
 

@@ -28,3 +28,8 @@ def conflicts(claims: DataFrame, key: list[str], rules: dict[str, Column], value
     for name in reversed(list(rules)):
         rule = F.when(~F.col(f"_first.{name}").eqNullSafe(F.col(f"_second.{name}")), name).otherwise(rule)
     return held.where("n_values > 1").join(pair, key).select(*key, "n_values", "n_claims", "winner", rule.alias("rule"))
+
+
+def conflicts_in_order(rows: DataFrame, key: str) -> DataFrame:
+    """Conflicts as people read them: by key in the order of ICU, equal ones by code point."""
+    return rows.orderBy(F.collate(F.col(key), "UNICODE"), key)

@@ -82,3 +82,29 @@ def test_upgrade_and_bodies(spark):
     assert render.table(rows, "region", "o", ["name", "n"]).first().body == "| name | n |\n|---|---|\n| a | 5 |\n| b\\|c |  |"
     links = spark.createDataFrame([(1, "a.b", "c", 'x"y')], "chunk int, from string, to string, field string")
     assert render.diagram(links).first().body == "erDiagram\n  a_b }o--|| c : \"x'y\""
+
+
+def test_literals_screen_without_losing_rows(spark):
+    """Patterns run on the texts that hold their literals only; the rows are the same."""
+    from pyspark.sql import functions as F
+
+    assert extract.literal_of(r"\.sendToQueue\(\s*x") == ".sendToQueue(" and extract.literal_of(r"process\.env\.([A-Z]+)") == "process.env." and extract.literal_of(r"\bx") is None and extract.literal_of("abcd?e") == "abc"
+    rows = extract.lines(files(spark))
+    for p in [*extract.ENV_READS, *(r.pattern for r in extract.CHANNEL_RULES)]:
+        both = rows.select(extract.found(F.col("text"), p).alias("a"), extract.screened(F.col("text"), p).alias("b"))
+        assert both.where(~F.col("a").eqNullSafe(F.col("b"))).isEmpty()
+    plain = [r for r in extract.CHANNEL_RULES if extract.literal_of(r.pattern)]
+    assert len(plain) > 4 and "Contains(text" in extract.channels(rows, tuple(plain))._jdf.queryExecution().toString() or "contains(" in extract.channels(rows, tuple(plain))._jdf.queryExecution().toString().lower()
+
+
+def test_prefixes_meet_whole(spark):
+    """Two hundred thousand ids that begin alike: no key of the join holds more than its own prefix's facts."""
+    from pyspark.sql import functions as F
+
+    from factweave.operators import binds
+
+    ids = spark.range(200_000).select(F.concat(F.lit("fact:cap"), F.col("id") % 7, F.lit("/"), "id").alias("id"))
+    asked = spark.createDataFrame([("fact:cap1/1",), ("fact:cap3/99",), ("fact:none/",), ("fact:cap6/123456",), (None,)], "prefix string")
+    got = {r.prefix: r["count"] for r in binds.by_prefix(asked, ids).groupBy("prefix").count().collect()}
+    every = [f"fact:cap{i % 7}/{i}" for i in range(200_000)]
+    assert got == {p: n for p in ("fact:cap1/1", "fact:cap3/99", "fact:cap6/123456") if (n := sum(x.startswith(p) for x in every))}
