@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.operators import drift, evaluate, journal, normalise, rank, repair
+from factweave.operators import drift, evaluate, extract, frameworks, imports, journal, normalise, policies, rank, repair, resolve, workspaces
+from factweave.operators import report as reports
+from factweave.operators.shapes import facts_of
 from factweave.sources import markers as m
+from factweave.staging import written
 
 KINDS = ("snooze", "tombstone", "rejection")
 STRONG = r"(?i)\b(fix|revert|workaround|hotfix|perf|regression|security)\b"
@@ -18,7 +23,7 @@ def decisions(log: DataFrame) -> DataFrame:
     newest = journal.latest(log.where(F.col("type").isin(*KINDS)), ["type", "target"], "at", "line_no")
     undone = log.where("type = 'revoke'").groupBy("target").agg(F.max_by(F.struct("at", "of"), F.struct("at", "line_no")).alias("_r"))
     rows = newest.join(undone, "target", "left")
-    gone = F.col("_r").isNotNull() & (F.col("_r.at") >= F.col("at")) & (F.col("_r.of").isNull() | (F.col("_r.of") == F.col("type")))
+    gone = F.col("_r").isNotNull() & (F.col("_r.at") > F.col("at")) & (F.col("_r.of").isNull() | (F.col("_r.of") == F.col("type")))
     return rows.where(~gone).select("type", "target", "content_hash")
 
 
@@ -39,6 +44,55 @@ def check(docs: DataFrame, facts: DataFrame, log: DataFrame, failed: DataFrame |
     return {"findings": found, "coverage": cover, "gaps": gaps, "envelope": evaluate.envelope(found, total, gaps.select("doc").distinct())}
 
 
+SCRIPT = r"\.(?:[cm]?[jt]sx?)$"
+
+
+def extracted(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Facts (id, capability, type, payload, hash, source), and gaps (capability, file, reason), of files(path, content): routes, names of the environment, packages, policies and models.
+
+    Of several claims of one id the first provider's stands, in that order. Facts that can't be used are gaps of the capability.
+    """
+    lines = written(extract.lines(files))
+    site = lambda c: F.array(F.struct(c.alias("file"), F.lit(None).cast("int").alias("line")))
+    code = lines.where(F.col("path").rlike(SCRIPT))
+    express = extract.endpoints(code).select("method", F.col("route").alias("path"), "file", F.lit(0).alias("provider"))
+    python, lost = imports.python_routes(lines)
+    urls = express.unionByName(python.withColumn("provider", F.lit(1))).groupBy("method", "path").agg(F.min(F.struct("provider", "file")).alias("_f"))
+    urls = urls.select("method", "path", "_f.provider", site(F.col("_f.file")).alias("source"))
+    pages = extract.page_routes(files).select(F.col("route").alias("path"), site(F.col("path")).alias("source"))
+    names = extract.env_names(lines).select("name", "read_in_code", F.col("declared").alias("declared_in_example"), F.transform("sites", lambda x: F.struct(x["path"].alias("file"), x["line"].cast("int").alias("line"))).alias("source"))
+    members, wrong = workspaces.layout(files.select(F.lit("repository").alias("root"), "path", F.decode("content", "UTF-8").alias("content")))
+    rules, secured = policies.replayed(policies.statements(files.where(policies.in_migrations(F.col("path"))).select("path", F.decode("content", "UTF-8").alias("content"))))
+    fields = frameworks.model_fields(lines.where(F.col("path").rlike(r"\.prisma$")).withColumnRenamed("path", "file"))
+    column = F.struct("line", F.struct("name", "type", "list", "optional", "attrs").alias("c"))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["c"])  # noqa: E731  the fields of one model
+    models = fields.where("kind = 'model'").groupBy("file", F.col("block").alias("name")).agg(in_order(F.when(~F.col("relation"), column)).alias("columns"), in_order(F.when(F.col("relation"), column)).alias("relations"))
+    enums = fields.where("kind = 'enum'").groupBy("file", F.col("block").alias("name")).agg(F.transform(in_order(column), lambda c: c["name"]).alias("values"))
+    tables = [("endpoint", urls), ("route", pages), ("env-var", names), ("package", members), ("policy", rules.withColumn("source", site(F.col("file")))), ("rls", secured.withColumn("source", site(F.col("file"))))]
+    tables += [("table", models.withColumn("source", site(F.col("file")))), ("enum", enums.withColumn("source", site(F.col("file"))))]
+    claims = [facts_of(rows, kind).withColumn("rank", F.lit(n)) for n, (kind, rows) in enumerate(tables)]
+    best = resolve.winners(reduce(DataFrame.unionByName, claims), ["id"], [F.col("rank"), F.col("hash")])
+    good, bad = normalise.screened(written(best), ["payload"])
+    gap = lambda capability, file, reason: (F.lit(capability).alias("capability") if isinstance(capability, str) else capability.alias("capability"), file.cast("string").alias("file"), reason.alias("reason"))
+    gaps = lost.select(*gap("http-endpoints", F.col("file"), F.col("reason"))).unionByName(wrong.select(*gap("workspace-layout", F.col("file"), F.col("kind")))).unionByName(bad.select(*gap(normalise.capability_of(F.col("id")), F.lit(None), F.col("reason"))))
+    return good, gaps.distinct()
+
+
+def report(files: DataFrame, log: DataFrame) -> dict[str, DataFrame]:
+    """From files(path, content) and a log of decisions to the whole report in one step: facts, gaps, findings, coverage, envelope and SARIF results.
+
+    Documents are the Markdown files. gaps holds both what could not be extracted and markers set aside.
+    """
+    facts, gaps = extracted(files)
+    facts = written(facts)
+    docs = files.where(F.col("path").rlike(r"(?i)\.md$")).select(F.col("path").alias("doc"), F.decode("content", "UTF-8").alias("text"))
+    out = check(docs, facts.select("id", "type", "payload", "hash"), log)
+    out["findings"] = written(out["findings"])
+    marks = out["gaps"].select(F.lit(None).cast("string").alias("capability"), F.col("doc").alias("file"), "reason")
+    results = reports.sarif(out["findings"].withColumn("detail", F.array_join("missing", ", ")))
+    return out | {"facts": facts, "gaps": gaps.unionByName(marks), "sarif": results}
+
+
 def init(facts: DataFrame, documented: DataFrame) -> DataFrame:
     """capability, facts and undocumented of each capability: what a first document would hold. Nothing is written."""
     rows = surfaces(facts).select("id", normalise.capability_of(F.col("id")).alias("capability")).join(documented.select("id", F.lit(1).alias("_d")).distinct(), "id", "left")
