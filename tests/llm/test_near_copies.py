@@ -120,3 +120,26 @@ def test_cells_of_one_batch_and_of_many_rows():
         many = [(r["c"], r["a"], r["n"], r["f"]) for r in got if r["b"] is None]
         assert sorted(many) == [r[:4] for r in rows if r[0] in (6, 9)]
         assert sum(r["b"] is not None for r in got) == 3 + 32 * 31 // 2 + 1
+
+
+def test_segments_of_majority_fingerprints_come_first(spark):
+    """All fingerprints within two bits are joined through the grid, crowded or not, and what is verified there is looked at no more."""
+    rng = random.Random(11)
+    prints = [rng.getrandbits(64) for _ in range(60)]
+    prints += [prints[0] ^ 1 << k for k in range(64)] + [p ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for p in prints[:30]] + prints[5:9]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    got = near_copies.by_segments(spark.createDataFrame([(i, signed(m)) for i, m in enumerate(prints)], "s long, m long")).collect()
+    least, changed = list(range(len(prints))), True
+    own, want = least.copy(), least
+    while changed:
+        changed = False
+        for known, links in ((own, [(r.a, r.b) for r in got]), (want, [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2])):
+            for i, j in links:
+                m = min(known[i], known[j])
+                changed |= (known[i], known[j]) != (m, m)
+                known[i] = known[j] = m
+    assert own == want and 40 < len(set(want)) < 100
+    assert all((prints[r.a] ^ prints[r.b]).bit_count() <= 2 for r in got)
+    classes = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (7, 6), (6, 6)], "node long, component long")
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 7), (6, 7), (8, 9), (1, 8)], "a long, b long")
+    assert sorted(map(tuple, near_copies.parted(pairs, classes).collect())) == [(1, 8), (3, 7), (8, 9)]
