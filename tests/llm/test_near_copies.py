@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from factweave.llm import near_copies, simhash
@@ -143,3 +144,10 @@ def test_segments_of_majority_fingerprints_come_first(spark):
     classes = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (7, 6), (6, 6)], "node long, component long")
     pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 7), (6, 7), (8, 9), (1, 8)], "a long, b long")
     assert sorted(map(tuple, near_copies.parted(pairs, classes).collect())) == [(1, 8), (3, 7), (8, 9)]
+
+
+def test_only_sets_of_pairs_are_joined(spark):
+    sets = spark.range(9).select(F.col("id").alias("s"), F.lit(b"x").alias("held"))
+    pairs = spark.createDataFrame([(1, 2), (2, 7), (1, 40)], "a long, b long")
+    assert sorted(r.s for r in near_copies.only(sets, pairs).collect()) == [1, 2, 7]
+    assert near_copies.only(sets, pairs, most=3).count() == 9 and near_copies.only(sets, pairs.limit(0)).count() == 0
