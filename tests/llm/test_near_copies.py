@@ -151,3 +151,14 @@ def test_only_sets_of_pairs_are_joined(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 7), (1, 40)], "a long, b long")
     assert sorted(r.s for r in near_copies.only(sets, pairs).collect()) == [1, 2, 7]
     assert near_copies.only(sets, pairs, most=3).count() == 9 and near_copies.only(sets, pairs.limit(0)).count() == 0
+
+
+def test_encoders_of_earlier_stages_are_let_go():
+    import pyarrow as pa
+
+    from factweave.llm import tokens
+
+    tokens.load(tokens.public_vocabulary())
+    batch = pa.RecordBatch.from_arrays([pa.array([b"a b c", b"a b c d e f"], pa.binary())], names=["b"])
+    assert list(near_copies._repeated(5)(iter([batch])))[0].num_rows == 0
+    assert tokens.load.cache_info().currsize == 0
