@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import carried, text_or_empty
+from factweave.llm.common import carried, text_or_empty, uncollected
 from factweave.llm.tokens import BLOCK, MARK, Memo, segments
 
 PAIRS = 200_000  # compatibility results kept
@@ -49,6 +49,8 @@ class MergeEncoder:
         if any(c not in self.id_of for p in self.id_of for c in p) or any(MARK in p.lstrip(MARK) for p in self.id_of) or m.normalize(" a  b ") != "▁▁a▁▁b▁":
             raise ValueError("the vocabulary has a merge that this encoder does not follow")
         self.size = [len(p) for p in self.pieces]
+        self.single = {c: (i,) for c, i in self.id_of.items() if len(c) == 1}
+        self.known = frozenset(self.single)
         raw = [b"" if i in self.silent else bytes([self.bytes_of[i]]) if i in self.bytes_of else w.encode() for i, w in enumerate(self.written)]
         self.width = np.array([len(x) for x in raw])
         self.place = np.cumsum(self.width) - self.width
@@ -60,7 +62,7 @@ class MergeEncoder:
             if len(p) > 1:  # single characters need no search
                 self.automaton.add_word(p, i)
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by left * vocabulary + right
         self.memo = Memo(self._learn, limit)
 
     def remerge(self, text: str) -> list[str]:
@@ -78,20 +80,21 @@ class MergeEncoder:
 
     def compatible(self, left: int, right: int) -> bool:
         """left -1: the start of a stretch, where the token must only be the encoding of its own text."""
-        known = self.pairs.get((left, right))
+        key = left * len(self.pieces) + right
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             want = [self.pieces[right]] if left < 0 else [self.pieces[left], self.pieces[right]]
-            known = self.pairs[left, right] = self.remerge("".join(want)) == want
+            known = self.pairs[key] = self.remerge("".join(want)) == want
         return known
 
     def stretch(self, text: str) -> list[int]:
         """Encode a text all of whose characters are in the vocabulary."""
-        size, compatible = self.size, self.compatible
-        starts = [[self.id_of[c]] for c in text]
+        size, compatible, seen, wide = self.size, self.compatible, self.pairs.get, len(self.pieces)
+        starts = list(map(self.single.__getitem__, text))
         for end, token in self.automaton.iter(text):
-            starts[end - size[token] + 1].append(token)  # shorter ones come first
+            starts[end - size[token] + 1] += (token,)  # shorter ones come first
         failed = 0  # bit p: the text from p on can't be encoded after what may stand before it
         out: list[int] = []
         tried: list[int] = []  # of each token in out, its place among those that start there
@@ -100,8 +103,10 @@ class MergeEncoder:
             here = starts[at]
             while k >= 0:
                 token = here[k]
-                if not failed >> at + size[token] & 1 and compatible(last, token):
-                    break
+                if not (failed and failed >> at + size[token] & 1):
+                    fits = seen(last * wide + token)
+                    if compatible(last, token) if fits is None else fits:
+                        break
                 k -= 1
             if k >= 0:
                 out.append(token)
@@ -119,9 +124,11 @@ class MergeEncoder:
 
     def segment(self, text: str) -> list[int]:
         """Ids of a text with its space marks; a character outside the vocabulary becomes its bytes."""
+        if text and self.known.issuperset(text):
+            return self.stretch(text)
         out, begin = [], 0
         for i, c in enumerate(text):
-            if c not in self.id_of:
+            if c not in self.known:
                 if i > begin:
                     out += self.stretch(text[begin:i])
                 out += [self.byte_id.get(b, self.unknown) for b in c.encode("utf-8", "surrogatepass")]
@@ -219,7 +226,8 @@ def encode_tokens(docs: DataFrame, model: str, keep: list[str] | None = None) ->
         for batch in batches:
             for i in range(0, batch.num_rows, TEXTS):
                 some = batch.slice(i, TEXTS)
-                ids, ends = _lists(encoder.encode_all(some.column("_text").to_pylist()))
+                with uncollected():
+                    ids, ends = _lists(encoder.encode_all(some.column("_text").to_pylist()))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([some.column("_row"), lists, encoder.decode_all(ids, ends)], names=["_row", "ids", "decoded"])
 

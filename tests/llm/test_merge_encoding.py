@@ -81,3 +81,12 @@ def test_clashing_names(spark):
     assert merge_encoding.encode_tokens(docs, MODEL, ["doc_id", "ids"]).columns == ["doc_id", "ids_in", "ids", "decoded"]
     row = merge_encoding.encode_documents(docs, MODEL, ["doc_id", "n_tokens", "ids"]).first()
     assert (row.n_tokens_in, row.ids, row.n_tokens) == ("y", "x", len(tokens.load(MODEL).library.encode("ab c")))
+
+
+def test_known_pairs_are_not_asked_for_again(monkeypatch):
+    encoder = merge_encoding.MergeEncoder(tokens.public_vocabulary())
+    want = encoder.encode("several unremarkable words, ünwritten")
+    asked = []
+    monkeypatch.setattr(encoder, "compatible", lambda *pair: asked.append(pair))
+    encoder.memo.clear()
+    assert encoder.encode("several unremarkable words, ünwritten") == want and not asked
