@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import carried, text_or_empty
+from factweave.llm.common import carried, text_or_empty, uncollected
 
 PATTERN = "[A-Za-z]+|[^A-Za-z]"
 BORDER = "[^A-Za-z]"  # a match begins at each of these
@@ -48,6 +48,18 @@ def offsets(text: str, pattern: str = PATTERN, border: str = BORDER, block: int
     return np.concatenate([*parts, [len(text)]]).astype("i8")
 
 
+def placed(text: str, one: int, two: int, pattern: str = PATTERN, border: str = BORDER, block: int = BLOCK) -> tuple[int, int, int]:
+    """n, the number of tokens, and the offsets at the smaller and the larger of the ranks one % (n + 1) and two % (n + 1). Of a text of one block only these two are looked up."""
+    if 0 < len(text) <= block:
+        found = splitter(pattern)(text)
+        n, at = len(found), lambda rank: found[rank][1][0] if rank < len(found) else len(text)
+    else:
+        every = offsets(text, pattern, border, block)
+        n, at = len(every) - 1, lambda rank: int(every[rank])
+    x, y = sorted((one % (n + 1), two % (n + 1)))
+    return n, at(x), at(y)
+
+
 CUTS = "n long, first long, second long"
 
 
@@ -57,12 +69,9 @@ def cuts(text: Column, one: Column, two: Column, pattern: str = PATTERN, border:
     @F.pandas_udf(CUTS)
     def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, a, b in batches:
-            out = np.zeros((len(texts), 3), "i8")
-            for i, (t, x, y) in enumerate(zip(texts, a, b)):
-                found = offsets(t, pattern, border)
-                x, y = sorted((x % len(found), y % len(found)))
-                out[i] = len(found) - 1, found[x], found[y]
-            yield pd.DataFrame(out, columns=["n", "first", "second"])
+            with uncollected():
+                out = [placed(t, x, y, pattern, border) for t, x, y in zip(texts, a.tolist(), b.tolist())]
+            yield pd.DataFrame(np.array(out, "i8").reshape(-1, 3), columns=["n", "first", "second"])
 
     return cut(text, one, two)
 

@@ -65,3 +65,11 @@ def test_a_very_long_text():
     text = "word, " * 60_000 + "z" * 300_000 + " end"
     found = f.offsets(text)
     assert len(found) == 60_000 * 3 + 4 and found[-1] == len(text) and text[found[-3] : found[-2]] == " "
+
+
+@pytest.mark.parametrize("text", ["", "a", "1", "aZ9 é́x\n\nb", "▁a b\U0001f600c ÄbC", "ab" * 40 + " c"])
+def test_two_places_equal_all_offsets(text):
+    every = [m.start() for m in re.finditer("[A-Za-z]+|[^A-Za-z]", text)] + [len(text)]
+    for one, two in ((0, 0), (5, 123456), (2**32 - 1, 7), (len(every) - 1, 0)):
+        x, y = sorted((one % len(every), two % len(every)))
+        assert f.placed(text, one, two) == f.placed(text, one, two, block=3) == (len(every) - 1, every[x], every[y])
