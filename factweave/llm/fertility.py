@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.llm import tokens
-from factweave.llm.common import carried, text_or_empty
+from factweave.llm.common import carried, let_go, text_or_empty
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -100,6 +100,7 @@ def duplicate_lines(text: str) -> int:
 def measures(text: Column, language: Column, model: str) -> Column:
     @F.pandas_udf(MEASURES)
     def measure(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        let_go(tokens.load)
         encoder = tokens.load(model)
         for texts, languages in batches:
             texts, rows = texts.tolist(), []

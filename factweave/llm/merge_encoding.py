@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.common import carried, text_or_empty, uncollected
+from factweave.llm.common import carried, let_go, loader, text_or_empty, uncollected
 from factweave.llm.tokens import BLOCK, MARK, Memo, segments
 
 PAIRS = 200_000  # compatibility results kept
@@ -200,6 +200,7 @@ def _characters(run: bytes) -> str:
             run = run[e.start + 1 :]
 
 
+@loader
 @lru_cache(maxsize=2)
 def load(path: str) -> MergeEncoder:
     """One encoder for each model and Python worker."""
@@ -222,6 +223,7 @@ def encode_tokens(docs: DataFrame, model: str, keep: list[str] | None = None) ->
     rows = docs.select(row, text_or_empty().alias("_text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(load)
         encoder = load(model)
         for batch in batches:
             for i in range(0, batch.num_rows, TEXTS):

@@ -13,6 +13,8 @@ from itertools import chain
 
 import numpy as np
 
+from factweave.llm.common import loader
+
 MARK = "▁"
 MEMO = 250_000  # segments kept in each of two generations
 BLOCK = 64  # texts looked up together
@@ -86,6 +88,7 @@ class SentencePieceTokens:
         return out
 
 
+@loader
 @lru_cache(maxsize=4)
 def load(path: str) -> SentencePieceTokens:
     """One encoder for each model and Python worker."""

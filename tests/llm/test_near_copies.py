@@ -162,3 +162,32 @@ def test_encoders_of_earlier_stages_are_let_go():
     batch = pa.RecordBatch.from_arrays([pa.array([b"a b c", b"a b c d e f"], pa.binary())], names=["b"])
     assert list(near_copies._repeated(5)(iter([batch])))[0].num_rows == 0
     assert tokens.load.cache_info().currsize == 0
+
+
+def test_workers_hold_one_encoder_at_a_time():
+    import pyarrow as pa
+
+    from factweave.llm import merge_encoding, tokens
+    from factweave.llm.common import let_go
+
+    model = tokens.public_vocabulary()
+    tokens.load(model), merge_encoding.load(model)
+    let_go(merge_encoding.load)
+    assert (tokens.load.cache_info().currsize, merge_encoding.load.cache_info().currsize) == (0, 1)
+    batch = pa.RecordBatch.from_arrays([pa.array([b"a b c"], pa.binary())], names=["b"])
+    assert list(near_copies._repeated(5)(iter([batch])))[0].num_rows == 0
+    assert merge_encoding.load.cache_info().currsize == 0
+
+
+def test_batches_of_long_texts_are_short(spark, monkeypatch):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    monkeypatch.setattr(near_copies, "BATCH", 1 << 20)
+    monkeypatch.setattr(near_copies, "_classes", lambda docs, *_: [r.n for r in docs.mapInArrow(sizes, "n long").collect()])
+    found = near_copies.classes_of(spark.range(0, 900, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text")))
+    assert len(found) > 5 and max(found) < 2 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
